@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 <
     """Batches cut so that the strings of one slice take about `most_bytes` at most (one row at least)."""
     for batch in batches:
         start, size = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > most_bytes:
                 yield batch.slice(start, i - start)
