@@ -12,6 +12,7 @@ An empty table makes no file. Only the key and text columns are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import slices, table, texts, tokenizer_file, written
 from textloom.llm.fmindex import Ranks
 
-END_ID, SHARD_TOKENS = 1, 1 << 20
+END_ID, SHARD_TOKENS = 1, 1 << 17
 #: Parts of text that the cache of a Python worker holds; a full cache starts anew.
-CACHE = 300_000
+CACHE = 700_000
 MAGIC = b"WMX1"
 
 
@@ -131,31 +132,83 @@ class Reader:
         return at
 
 
+#: Marks that end many words, and characters that Python alone takes for white space.
+TAIL, ODD_SPACE, MARK = ".,;:!?", re.compile("[\x1c-\x1f]"), "<|endoftext|>"
+#: Commas and full stops that don't stand alone between a letter or digit and white space.
+BOUND = re.compile(r"(?:[^\w\s]|_|\A|\s)[.,]|[.,]\S")
+
+
 @lru_cache(maxsize=2)
 class Encoder:
-    """Ids by the tokenizers library. It drops white space and never joins over it, so every part between white space is
-    encoded once and kept; a vocabulary for which that doesn't hold must be used with whole=True."""
+    """Ids by the tokenizers library. Its pattern drops white space, never joins over it, and parts a letter or digit from a
+    following mark, and its ASCII letters have no case; so every word is encoded once and kept. A vocabulary for which that
+    doesn't hold must be used with whole=True."""
 
     def __init__(self, spec: str, whole: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, self.marked = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.whole, self.cache = whole, {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        self.mark, self.whole = self.marked.token_to_id(MARK), whole
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, texts_: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are new, many in one call with marks between them."""
+        plain = [w for w in words if self.mark is not None and "<|" not in w]
+        special = [w for w in words if self.mark is None or "<|" in w]
+        self.words.update(zip(special, self._ids(special), strict=True))
+        runs = [MARK.join(plain[k : k + 200]) for k in range(0, len(plain), 200)]
+        if runs:
+            flat = np.concatenate([np.array([*e.ids, self.mark], dtype="<u4") for e in self.marked.encode_batch_fast(runs, add_special_tokens=False)])
+            data, a = flat.tobytes(), 0
+            for w, b in zip(plain, (np.flatnonzero(flat == self.mark) * 4).tolist(), strict=True):
+                self.words[w] = data[a:b]
+                a = b + 4
+
+    @staticmethod
+    def _cut(part: str) -> tuple[str, str]:
+        word = part.rstrip(TAIL)
+        if not word or not word[-1].lower()[-1].isalnum():
+            word = part
+        return (word.lower() if word.isascii() else word), part[len(word) :]
+
+    @staticmethod
+    def _split(text: str | None) -> tuple[list[str], bool] | None:
+        """A text's parts, and whether all of them are words; None if it must be encoded whole.
+
+        Where every comma and full stop ends a word, they become words of their own, and Latin-1 letters lose their case.
+        """
+        if not text:
+            return [], True
+        if ODD_SPACE.search(text):
+            return None
+        if BOUND.search(text):
+            return text.split(), False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(), False
+        return text.lower().replace(",", " , ").replace(".", " . ").split(), True
 
     def encode(self, docs: list[str | None]) -> list[bytes]:
         if self.whole:
             return self._ids([t or "" for t in docs])
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        parted = [t.split() if t else [] for t in docs]
-        new = [p for p in set().union(*parted) if p not in self.cache]
-        self.cache.update(zip(new, self._ids(new), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, parts)) for parts in parted]
+        for cache in (self.parts, self.words):
+            if len(cache) > CACHE:
+                cache.clear()
+        split = [self._split(t) for t in docs]
+        new = {p: self._cut(p) for p in set().union(*(x[0] for x in split if x and not x[1])).difference(self.parts)}
+        words = {w for cut in new.values() for w in cut if w}.union(*(x[0] for x in split if x and x[1]))
+        self._learn(list(words.difference(self.words)))
+        word = self.words.__getitem__
+        for p, (w, tail) in new.items():
+            self.parts[p] = word(w) + word(tail) if tail else word(w)
+        part = self.parts.__getitem__
+        return [self._ids([t])[0] if x is None else b"".join(map(word if x[1] else part, x[0])) for t, x in zip(docs, split, strict=True)]
 
 
 def write(df: DataFrame, path: str | None = None, whole: bool = False, shard_tokens: int = SHARD_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
