@@ -289,9 +289,11 @@ def removed(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_words:
 
     def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = shared.value.code.get
-        old = batch.column(where).to_pylist()
-        docs = [np.array([code(w, 0) for w in alnum_words(t)], dtype=np.int32) for t in old]
-        new = [remove_spans(t, s) if s else t for t, (s, _) in zip(old, find_spans(docs, shared.value), strict=True)]
+        new = batch.column(where).to_pylist()
+        left = range(len(new))
+        while left:  # what stands around a removed span may make a passage of its own
+            found = find_spans([np.array([code(w, 0) for w in alnum_words(new[k])], dtype=np.int32) for k in left], shared.value)
+            left = [k for k, (s, _) in zip(left, found, strict=True) if s and not new.__setitem__(k, remove_spans(new[k], s))]
         return pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(new, pa.string()), *batch.columns[where + 1 :]], schema=batch.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -330,5 +330,14 @@ def _rest(large: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
     return main.unionAll(to_main).unionAll(to_rest)
 
 
+def representatives(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, all columns, of the document with the smallest id of each component. Rows of one id are one document; rows
+    without an id can't be told apart and all stay."""
+    linked = join(df, words, percent, key=key, text=text)
+    keep = linked.where("doc_id = component_id").select(F.col("doc_id").alias("kept id")).distinct()
+    named = df.join(keep, F.col(f"`{key}`").cast("long") == F.col("kept id"), "left_semi")
+    return named.unionAll(df.where(F.col(f"`{key}`").isNull()))
+
+
 def op6_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

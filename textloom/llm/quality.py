@@ -185,6 +185,12 @@ def scored(df: DataFrame, model: Additive, text: str = "text") -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
 
 
+def kept(df: DataFrame, model: Additive, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows, all columns and no other, whose texts score at least the threshold."""
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
+    return scored(inner, model).where(F.col("score") >= threshold).select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
+
+
 def op3_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
