@@ -12,11 +12,10 @@ An empty table makes no file. Only the key and text columns are read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from textloom.llm.fmindex import Ranks
 
 END_ID, SHARD_TOKENS = 1, 1 << 17
 #: Parts of text that the cache of a Python worker holds; a full cache starts anew.
-CACHE = 700_000
+CACHE = 300_000
 MAGIC = b"WMX1"
 
 
@@ -46,7 +45,7 @@ def _unzip(data: bytes) -> bytes:
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """File image: MAGIC, bit width, ids, documents, then sizes of the parts, then the parts."""
-    symbols = ids.astype(np.int32)
+    symbols = ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)
     width = max(1, int(symbols.max(initial=0)).bit_length())
     parts, zeros = [], []
     for level in range(width - 1, -1, -1):
@@ -78,13 +77,16 @@ class Reader:
             parts.append(_unzip(image[at : at + size]))
             at += size
         self.bits = [np.unpackbits(np.frombuffer(p, dtype=np.uint8), bitorder="little", count=self.n) for p in parts[: self.width]]
-        self.planes = [Ranks(b) for b in self.bits]
         ids, known = np.frombuffer(parts[-3], dtype="<i8"), np.frombuffer(parts[-2], dtype=np.uint8)
         self.doc_ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
         self.lengths = np.frombuffer(parts[-1], dtype="<i8")
         if len(self.doc_ids) != docs:
             raise ValueError("damaged wavelet-matrix file")
 
+    @cached_property
+    def planes(self) -> list[Ranks]:
+        return [Ranks(b) for b in self.bits]
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """Ids at the given places."""
         symbol = np.zeros(len(at), dtype=np.int64)
@@ -95,14 +97,13 @@ class Reader:
         return symbol
 
     def all(self) -> np.ndarray:
-        """All ids in order: as access() for every place, with running ranks and no search in the directories."""
-        symbol, at = np.zeros(self.n, dtype=np.int32), np.arange(self.n, dtype=np.int32)
-        for k, bits in enumerate(self.bits):
-            # where each place of this plane goes in the next one
-            ones = np.cumsum(bits, dtype=np.int32)
-            goes = np.where(bits, self.zeros[k] + ones - 1, np.arange(self.n, dtype=np.int32) - ones)
-            symbol = (symbol << 1) | bits[at]
-            at = goes[at]
+        """All ids in order: from the last plane up, each plane's zeros and ones are put back where they came from."""
+        symbol = np.zeros(self.n, dtype=np.uint32)
+        for k in range(self.width - 1, -1, -1):
+            symbol[self.zeros[k] :] |= np.uint32(1 << (self.width - 1 - k))
+            one, before = self.bits[k].view(bool), np.empty_like(symbol)
+            before[~one], before[one] = symbol[: self.zeros[k]], symbol[self.zeros[k] :]
+            symbol = before
         return symbol
 
     def _range(self, symbol: int, start: int, stop: int) -> tuple[int, int]:
@@ -133,9 +134,7 @@ class Reader:
 
 
 #: Marks that end many words, and characters that Python alone takes for white space.
-TAIL, ODD_SPACE, MARK = ".,;:!?", re.compile("[\x1c-\x1f]"), "<|endoftext|>"
-#: Commas and full stops that don't stand alone between a letter or digit and white space.
-BOUND = re.compile(r"(?:[^\w\s]|_|\A|\s)[.,]|[.,]\S")
+TAIL, ODD_SPACE, MARK = ".,;:!?", b"\x1c\x1d\x1e\x1f", "<|endoftext|>"
 
 
 @lru_cache(maxsize=2)
@@ -150,24 +149,43 @@ class Encoder:
         self.tokenizer, self.marked = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.mark, self.whole = self.marked.token_to_id(MARK), whole
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.closed: set[str] = set()  # words that a mark would be a part of
 
     def _ids(self, texts_: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words that are new, many in one call with marks between them."""
-        plain = [w for w in words if self.mark is not None and "<|" not in w]
-        special = [w for w in words if self.mark is None or "<|" in w]
+        """Encode words that are new, many in one call: words of letters alone end with an end-of-word token each; between
+        others stand marks."""
+        letters = [w for w in words if w.isalpha()]
+        flat = self._flat([" ".join(letters[k : k + 200]) for k in range(0, len(letters), 200)], None)
+        stops = np.flatnonzero(self.ends[flat]) + 1
+        if len(stops) == len(letters):
+            self._keep(letters, flat, stops, 0)
+        else:
+            letters = []
+        others = set(words).difference(letters)
+        special = [w for w in others if self.mark is None or "<|" in w]
         self.words.update(zip(special, self._ids(special), strict=True))
-        runs = [MARK.join(plain[k : k + 200]) for k in range(0, len(plain), 200)]
-        if runs:
-            flat = np.concatenate([np.array([*e.ids, self.mark], dtype="<u4") for e in self.marked.encode_batch_fast(runs, add_special_tokens=False)])
-            data, a = flat.tobytes(), 0
-            for w, b in zip(plain, (np.flatnonzero(flat == self.mark) * 4).tolist(), strict=True):
-                self.words[w] = data[a:b]
-                a = b + 4
+        plain = list(others.difference(special))
+        if plain:
+            flat = self._flat([MARK.join(plain[k : k + 200]) for k in range(0, len(plain), 200)], self.mark)
+            self._keep(plain, flat, np.flatnonzero(flat == self.mark), 1)
+
+    def _flat(self, runs: list[str], end: int | None) -> np.ndarray:
+        more = [] if end is None else [end]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *(np.array([*e.ids, *more], dtype="<u4") for e in self.marked.encode_batch_fast(runs, add_special_tokens=False))])
+
+    def _keep(self, words: list[str], flat: np.ndarray, stops: np.ndarray, gap: int) -> None:
+        data, a = flat.tobytes(), 0
+        for w, b in zip(words, (stops * 4).tolist(), strict=True):
+            self.words[w] = data[a:b]
+            a = b + 4 * gap
 
     @staticmethod
     def _cut(part: str) -> tuple[str, str]:
@@ -178,31 +196,35 @@ class Encoder:
 
     @staticmethod
     def _split(text: str | None) -> tuple[list[str], bool] | None:
-        """A text's parts, and whether all of them are words; None if it must be encoded whole.
+        """A text's parts, and whether commas and full stops are parts of their own; None if it must be encoded whole.
 
-        Where every comma and full stop ends a word, they become words of their own, and Latin-1 letters lose their case.
+        They are where white space follows each of them. Latin-1 letters then lose their case.
         """
         if not text:
-            return [], True
-        if ODD_SPACE.search(text):
-            return None
-        if BOUND.search(text):
-            return text.split(), False
+            return [], False
         try:
-            text.encode("latin-1")
+            data, simple = text.encode("latin-1"), all(text.count(m) == text.count(m + " ") + text.count(m + "\n") + text.endswith(m) for m in ",.")
         except UnicodeEncodeError:
-            return text.split(), False
-        return text.lower().replace(",", " , ").replace(".", " . ").split(), True
+            data, simple = text.encode("utf-8", "surrogatepass"), False
+        if len(data.translate(None, ODD_SPACE)) != len(data):
+            return None
+        return (text.lower().replace(",", " , ").replace(".", " . ").split() if simple else text.split()), simple
 
     def encode(self, docs: list[str | None]) -> list[bytes]:
         if self.whole:
             return self._ids([t or "" for t in docs])
-        for cache in (self.parts, self.words):
+        for cache in (self.parts, self.words, self.closed):
             if len(cache) > CACHE:
                 cache.clear()
         split = [self._split(t) for t in docs]
+        words = set().union(*(x[0] for x in split if x and x[1]))
+        # a mark after another mark is one word with it: such texts are parted at white space only
+        words = words.difference(self.words)
+        self.closed.update(w for w in words if w not in (",", ".") and not w[-1].isalnum())
+        if self.closed:
+            split = [(t.split(), False) if x and x[1] and not self.closed.isdisjoint(x[0]) else x for t, x in zip(docs, split, strict=True)]
         new = {p: self._cut(p) for p in set().union(*(x[0] for x in split if x and not x[1])).difference(self.parts)}
-        words = {w for cut in new.values() for w in cut if w}.union(*(x[0] for x in split if x and x[1]))
+        words = (words - self.closed).union(w for cut in new.values() for w in cut if w)
         self._learn(list(words.difference(self.words)))
         word = self.words.__getitem__
         for p, (w, tail) in new.items():
@@ -230,7 +252,7 @@ def write(df: DataFrame, path: str | None = None, whole: bool = False, shard_tok
             row = {"part": [part], "seq": [seq], "n_tokens": [len(flat)], "image": [pack(flat, docs, [len(x) // 4 for x in ids])]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("image", pa.binary())]))
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             for i, x in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
                 if docs and size + len(x) // 4 + 1 > shard_tokens:
                     yield flush()
