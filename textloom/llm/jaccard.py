@@ -4,7 +4,7 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one class (an id of 64 bits, checked with 64 more).
 2. Routing, without loss: in a size class, linked sets differ in at most D shingles. Shingles fall into K > D groups by hash, so
-   linked sets agree wholly on K - D groups at least. Each set is sent to the hash of each group's content; groups of at most
+   linked sets agree wholly on K - D groups at least; K is SPARE times D + 1. Each set is sent to the hash of each group's content; groups of at most
    one shingle are left out unless a set has K - D or more of them, which then holds for any linked partner too.
 3. Sets that meet, directly or over others, form a block (connected components of the meetings).
 4. In each block, a signature tree is built over a tile of sets: leaves hold a bitmap of one set, nodes the OR of their
@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.common import plain_words, slices, table, texts, written
@@ -36,6 +35,8 @@ from textloom.llm.components import components
 
 #: Sets in a tile, common sets that every tile of a block gets, children of a tree node, words that a worker keeps hashed.
 TILE, HUBS, FANOUT, CACHE = 256, 4, 8, 500_000
+#: Groups for each shingle, and one more, in which linked sets may differ.
+SPARE = 1.4
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -49,21 +50,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 _hashes: dict[bytes, int] = {}
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles (of the whole sequence, if shorter)."""
-    words = plain_words(text)
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
+def shingle_sets(values: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles (of the whole sequence, if shorter)."""
+    docs = [plain_words(t) for t in values]
     if len(_hashes) > CACHE:
         _hashes.clear()
-    for w in set(words).difference(_hashes):
+    for w in set().union(*docs).difference(_hashes):
         _hashes[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, k, dtype=np.uint64)
-    for j in range(k):
-        out = mix((out + h[j : len(h) - k + 1 + j]) * M1)
-    return np.unique(out)
+    get = _hashes.__getitem__
+    total = sum(map(len, docs))
+    flat = np.zeros(total + n, dtype=np.uint64)
+    flat[:total] = np.fromiter((get(w) for d in docs for w in d), dtype=np.uint64, count=total)
+    full = np.full(total, n, dtype=np.uint64)
+    for j in range(n):
+        full = mix((full + flat[j : total + j]) * M1)
+    out, at = [], 0
+    for d in docs:
+        if len(d) >= n or not d:
+            out.append(np.unique(full[at : at + max(0, len(d) - n + 1)]))
+        else:
+            one = np.full(1, len(d), dtype=np.uint64)
+            for j in range(len(d)):
+                one = mix((one + flat[at + j : at + j + 1]) * M1)
+            out.append(one)
+        at += len(d)
+    return out
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    return shingle_sets([text], n)[0]
 
 
 class Router:
@@ -84,7 +99,7 @@ class Router:
         """(D, K) of a class: most shingles in which linked sets of it differ, and number of groups."""
         most = math.ceil(self.ratio ** (band + 1) + 1e-6)
         d = math.floor(2 * most * (100 - self.percent) / (100 + self.percent) + 1e-9)
-        return d, math.ceil(1.12 * (d + 1))
+        return d, math.ceil(SPARE * (d + 1))
 
     def keys(self, s: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -107,35 +122,25 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _sets(n: int) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            rows = []
-            for t in b.column("text").to_pylist():
-                s = shingles(t, n)
-                rows.append((len(s), *(digest(s) if len(s) else (None, None))))
-            size, hi, lo = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "n_shingles", "sid", "check"])
+def _sets(n: int, percent: int) -> Callable:
+    """Each row's set size, ids and route keys; a copy within the task adds no keys."""
 
-    return run
-
-
-def _routes(n: int, percent: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router, seen = Router(percent), set()
-        for b in slices(batches, "text"):
-            keys, sids = [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t, n)
-                if not len(s) or (sid := digest(s)[0]) in seen:
-                    continue  # a copy within the task adds nothing
-                if len(seen) < 1_000_000:
-                    seen.add(sid)
-                for k in router.keys(s):
-                    keys.append(k)
-                    sids.append(np.full(len(k), sid, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids))], names=["key", "sid"])
+        for b in slices(batches, "text", 2 << 20):
+            size, hi, lo, keys = [], [], [], []
+            for s in shingle_sets(b.column("text").to_pylist(), n):
+                x, y = digest(s) if len(s) else (None, None)
+                new = x is not None and x not in seen
+                if new and len(seen) < 1_000_000:
+                    seen.add(x)
+                size.append(len(s))
+                hi.append(x)
+                lo.append(y)
+                keys.append(np.concatenate(router.keys(s)) if new else np.zeros(0, dtype=np.uint64))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
+            routes = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), routes], names=["doc_id", "n_shingles", "sid", "check", "keys"])
 
     return run
 
@@ -232,41 +237,37 @@ def tree_join(ids: list[int], sets: list[np.ndarray], labels: list[int], percent
     return links
 
 
-def _join_units(percent: int) -> Callable:
-    """From rows (unit, sid, label, data) sorted by unit: spanning links of each unit."""
+def _join_units(n: int, percent: int) -> Callable:
+    """From rows (unit, sid, label, text) sorted by unit: spanning links of each unit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                links = tree_join(list(rows), [v[1] for v in rows.values()], [v[0] for v in rows.values()], percent)
+                sets = shingle_sets([t for _, t in rows.values()], n)
+                links = tree_join(list(rows), sets, [label for label, _ in rows.values()], percent)
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for u, sid, label, data in zip(*(batch.column(c).to_pylist() for c in ("unit", "sid", "label", "data")), strict=True):
+            for u, sid, label, text in zip(*(batch.column(c).to_pylist() for c in ("unit", "sid", "label", "text")), strict=True):
                 if u != unit:
                     yield from flush()
                     unit, rows = u, {}
-                rows[sid] = (label, np.frombuffer(data, dtype="<u8"))
+                rows[sid] = (label, text)
         yield from flush()
 
     return run
 
 
-def _units(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    dealt = rows.select("unit", "sid", "label", "data").repartition(parts, "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(_join_units(percent), "a long, b long")
-
+def _same(n: int) -> Callable:
+    """Rows whose text has the set they stand for: an id may have several texts."""
 
-def _block_sets(n: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            got = [shingles(t, n) for t in b.column("text").to_pylist()]
-            same = [len(s) > 0 and digest(s)[0] == i for s, i in zip(got, b.column("sid").to_pylist(), strict=True)]  # an id may have several texts
-            rest = b.filter(pa.array(same))
-            yield pa.RecordBatch.from_arrays([rest.column("sid"), rest.column("block"), pa.array([s.tobytes() for s, k in zip(got, same, strict=True) if k], pa.binary())], names=["sid", "block", "data"])
+        for b in slices(batches, "text", 2 << 20):
+            same = [len(s) > 0 and digest(s)[0] == i for s, i in zip(shingle_sets(b.column("text").to_pylist(), n), b.column("sid").to_pylist(), strict=True)]
+            yield b.filter(pa.array(same))
 
     return run
 
@@ -274,29 +275,33 @@ def _block_sets(n: int) -> Callable:
 def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = texts(df, key, text)
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = written(docs.mapInArrow(_sets(words), "doc_id long, n_shingles long, sid long, check long"), "jaccard-ids")
-    classes = written(ids.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("a"), F.max("check").alias("b")), "jaccard-classes")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(docs.mapInArrow(_sets(words, percent), "doc_id long, n_shingles long, sid long, check long, keys array<long>"), "jaccard-sets")
+    ids = rows.select("doc_id", "n_shingles", "sid")
+    classes = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("a"), F.max("check").alias("b")), "jaccard-classes")
     if not classes.where("a <> b").isEmpty():
         raise RuntimeError("two different sets have one 64-bit id")
-    routes = docs.where("text IS NOT NULL").mapInArrow(_routes(words, percent), "key long, sid long")
+    routes = rows.select(F.explode("keys").alias("key"), "sid")
     met = routes.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(_meetings, "a long, b long")
     blocks = components(met, "jaccard-blocks")
     member = blocks.select(F.col("node").alias("sid"), F.col("root").alias("block")).unionAll(blocks.select("root", "root").distinct())
-    wanted = classes.join(member, "sid").select("doc_id", "sid", "block")
-    some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "block", "text")
-    sets = written(some.mapInArrow(_block_sets(words), "sid long, block long, data binary").groupBy("sid").agg(F.min("block").alias("block"), F.min("data").alias("data")), "jaccard-sets")
-    sizes = sets.groupBy("block").agg(F.count("*").alias("n"))
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    placed = sets.join(sizes.withColumn("tiles", tiles), "block")
-    dealt = placed.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    first = _hubs(placed).unionAll(dealt.select("block", "tile", "sid", "data"))
-    links = written(_units(first.select(F.xxhash64("block", "tile").alias("unit"), "sid", F.lit(-1).cast("long").alias("label"), "data"), percent, parts), "jaccard-links")
-    large = placed.where("tiles > 1").drop("tiles", "n")
+    # ids are dealt to blocks and tiles first; texts join them last
+    sizes = member.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    placed = written(member.join(sizes, "block"), "jaccard-placed")
+    wanted = classes.join(placed, "sid").select(F.col("doc_id").alias("id"), "sid")
+    some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("sid", "text")
+    held = written(some.mapInArrow(_same(words), "sid long, text string"), "jaccard-texts")
+
+    def links(units: DataFrame, name: str) -> DataFrame:
+        dealt = units.join(held, "sid").select("unit", "sid", "label", "text").repartition(parts, "unit").sortWithinPartitions("unit")
+        return written(dealt.mapInArrow(_join_units(words, percent), "a long, b long"), name)
+
+    tiled = placed.select("block", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int").alias("tile"), "sid").unionAll(_hubs(placed))
+    found = links(tiled.select(F.xxhash64("block", "tile").alias("unit"), "sid", F.lit(-1).cast("long").alias("label")), "jaccard-links")
+    large = placed.where("tiles > 1").select("block", "sid")
     if not large.isEmpty():
-        links = links.unionAll(written(_units(_rest(large, components(links, "jaccard-first"), tile), percent, parts), "jaccard-rest"))
-    roots = components(links, "jaccard-components")
+        found = found.unionAll(links(_rest(large, components(found, "jaccard-first"), tile), "jaccard-rest"))
+    roots = components(found, "jaccard-components")
     root_of = classes.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     smallest = root_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = root_of.join(smallest, "root").select("sid", "component_id")
@@ -305,28 +310,26 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
 
 
 def _hubs(placed: DataFrame) -> DataFrame:
-    """The block's least sids, one for each residue, for every tile of a block with several tiles."""
-    several = placed.where("tiles > 1").withColumn("r", F.pmod(F.xxhash64(F.lit(1), "sid"), F.lit(HUBS)))
-    least = several.groupBy("block", "r").agg(F.min("sid").alias("sid")).select("block", "sid")
-    hubs = several.join(least, ["block", "sid"], "left_semi")
-    return hubs.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "sid", "data")
+    """A block's least sids, one for each of HUBS residues, for every tile of a block with several tiles."""
+    several = placed.where("tiles > 1")
+    least = several.groupBy("block", "tiles", F.pmod(F.xxhash64(F.lit(1), "sid"), F.lit(HUBS)).alias("r")).agg(F.min("sid").alias("sid"))
+    return least.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "sid")
 
 
 def _rest(large: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
     """Units of the second round: sets outside a block's largest component, with all others of the block."""
-    labelled = large.join(roots, F.col("sid") == F.col("node"), "left").select("block", "sid", "data", F.coalesce("root", "sid").alias("root"))
+    labelled = large.join(roots, F.col("sid") == F.col("node"), "left").select("block", "sid", F.coalesce("root", "sid").alias("root"))
     counts = labelled.groupBy("block", "root").agg(F.count("*").alias("n"))
-    # labels in a block count its components from 0, the largest first
-    ranked = counts.select("block", "root", "n", (F.row_number().over(W.partitionBy("block").orderBy(F.desc("n"), "root")) - 1).cast("long").alias("label"))
-    totals = ranked.groupBy("block").agg(F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("rest"), F.max("n").alias("most")).where("rest > 0")
-    count = lambda c: F.ceil(F.col(c) / tile).cast("int")
-    rows = labelled.join(ranked.select("block", "root", "label"), ["block", "root"]).join(totals.select("block", count("rest").alias("tr"), count("most").alias("ts")), "block")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.when(F.col("label") > 0, F.col("tr")).otherwise(F.col("ts"))).cast("int"))
+    most = counts.groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    count = lambda c: F.ceil(c / tile).cast("int")
+    totals = most.where(F.col("all") > F.col("top.n")).select("block", F.col("top.root").alias("main"), count(F.col("all") - F.col("top.n")).alias("tr"), count(F.col("top.n")).alias("ts"))
+    rows = labelled.join(totals, "block").withColumn("in_main", F.col("root") == F.col("main")).withColumn("label", F.xxhash64("root").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.when(F.col("in_main"), F.col("ts")).otherwise(F.col("tr"))).cast("int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    main = rows.where("label = 0").select("*", each("tr").alias("other")).select(F.xxhash64(F.lit("main"), "block", "other", "mine").alias("unit"), "sid", "label", "data")
-    rest = rows.where("label > 0")
-    to_main = rest.select("*", each("ts").alias("other")).select(F.xxhash64(F.lit("main"), "block", "mine", "other").alias("unit"), "sid", "label", "data")
-    to_rest = rest.select("*", each("tr").alias("other")).select(F.xxhash64(F.lit("rest"), "block", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "sid", "label", "data")
+    main = rows.where("in_main").select("*", each("tr").alias("other")).select(F.xxhash64(F.lit("main"), "block", "other", "mine").alias("unit"), "sid", "label")
+    rest = rows.where("NOT in_main")
+    to_main = rest.select("*", each("ts").alias("other")).select(F.xxhash64(F.lit("main"), "block", "mine", "other").alias("unit"), "sid", "label")
+    to_rest = rest.select("*", each("tr").alias("other")).select(F.xxhash64(F.lit("rest"), "block", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "sid", "label")
     return main.unionAll(to_main).unionAll(to_rest)
 
 
