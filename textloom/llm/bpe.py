@@ -111,6 +111,8 @@ class Engine:
             raise ValueError("a byte-level vocabulary has a token for every byte")
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.find = regex.compile(pattern).findall
+        if pattern != _pattern(None):
+            self._split = lambda blank, part: self.find(blank + part)
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.con.register("given", merge_table(self.ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -154,6 +156,15 @@ class Engine:
                 a = b
             start = stop
 
+    def _split(self, blank: str, part: str) -> list[str]:
+        """The pattern's matches; Latin letters, alone or with one mark behind, need no search."""
+        if part and max(part) < "\u0250":
+            if part.isalpha():
+                return [blank + part]
+            if part[-1] in ".,;:!?" and part[:-1].isalpha():
+                return [blank + part[:-1], part[-1]]
+        return self.find(blank + part)
+
     def encode(self, docs: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
@@ -169,8 +180,8 @@ class Engine:
             if parts:
                 firsts.add(parts[0])
                 laters.update(parts[1:])
-        found = [(self.first, p, self.find(p)) for p in firsts if p not in self.first]
-        found += [(self.later, p, self.find(" " + p)) for p in laters if p not in self.later]
+        found = [(self.first, p, self._split("", p)) for p in firsts if p not in self.first]
+        found += [(self.later, p, self._split(" ", p)) for p in laters if p not in self.later]
         self._contract([w for w in dict.fromkeys(w for _, _, ws in found for w in ws) if w not in self.words])
         get = self.words.__getitem__
         for cache, part, ws in found:

@@ -4,8 +4,10 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one class (an id of 64 bits, checked with 64 more).
 2. Routing, without loss: in a size class, linked sets differ in at most D shingles. Shingles fall into K > D groups by hash, so
-   linked sets agree wholly on K - D groups at least; K is SPARE times D + 1. Each set is sent to the hash of each group's content; groups of at most
-   one shingle are left out unless a set has K - D or more of them, which then holds for any linked partner too.
+   linked sets agree wholly on K - D groups at least; K is SPARE times D + 1. Each set is sent to the hash of each group's
+   content. Groups with at most one shingle that isn't common (frequent in a sample) are left out unless a set has K - D or
+   more of them. Whether a group is so depends on its content alone, so linked sets that agree on more groups than one of them
+   leaves out still meet in another; the sample decides how much is sent, never what is found.
 3. Sets that meet, directly or over others, form a block (connected components of the meetings).
 4. In each block, a signature tree is built over a tile of sets: leaves hold a bitmap of one set, nodes the OR of their
    children with ranges of sizes. Dual traversal of the tree with itself drops node pairs whose greatest possible overlap is too
@@ -36,7 +38,9 @@ from textloom.llm.components import components
 #: Sets in a tile, common sets that every tile of a block gets, children of a tree node, words that a worker keeps hashed.
 TILE, HUBS, FANOUT, CACHE = 256, 4, 8, 500_000
 #: Groups for each shingle, and one more, in which linked sets may differ.
-SPARE = 1.4
+SPARE = 1.35
+#: Documents of the sample, in how many of them a shingle is common, and how many shingles are kept as common.
+SAMPLE, COMMON_IN, MOST_COMMON = 4000, 3, 200_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -84,8 +88,9 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 class Router:
     """Size classes, and the groups of each."""
 
-    def __init__(self, percent: int):
-        self.percent, self.t = percent, percent / 100
+    def __init__(self, percent: int, common: np.ndarray):
+        """common: sorted hashes of common shingles."""
+        self.percent, self.t, self.common = percent, percent / 100, common
         self.ratio = 1 / self.t**2
 
     def band(self, size: int) -> int:
@@ -103,10 +108,14 @@ class Router:
 
     def keys(self, s: np.ndarray) -> list[np.ndarray]:
         out = []
+        if len(self.common):
+            rare = self.common[np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)] != s
+        else:
+            rare = np.ones(len(s), dtype=bool)
         for band in self.classes(len(s)):
             d, k = self.groups(band)
             group = ((s >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
-            sizes = np.bincount(group, minlength=k)
+            sizes = np.bincount(group[rare], minlength=k)
             # sums of mixed hashes stand for a group's content; they only route, what meets is compared exactly
             content = np.zeros(k, dtype=np.uint64)
             np.add.at(content, group, mix(s * M1 + np.uint64(band)))
@@ -122,11 +131,23 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _sets(n: int, percent: int) -> Callable:
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a bounded sample have, the most frequent ones."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(b.column("text").to_pylist(), n)).view(np.int64))], names=["h"])
+
+    share = SAMPLE / max(SAMPLE, docs.count())
+    counts = docs.sample(False, share, 7).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_IN)
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(np.uint64))
+
+
+def _sets(n: int, percent: int, common) -> Callable:
     """Each row's set size, ids and route keys; a copy within the task adds no keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, seen = Router(percent), set()
+        router, seen = Router(percent, common.value), set()
         for b in slices(batches, "text", 2 << 20):
             size, hi, lo, keys = [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), n):
@@ -276,7 +297,8 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     """doc_id, n_shingles, component_id of every row."""
     docs = texts(df, key, text)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(docs.mapInArrow(_sets(words, percent), "doc_id long, n_shingles long, sid long, check long, keys array<long>"), "jaccard-sets")
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+    rows = written(docs.mapInArrow(_sets(words, percent, common), "doc_id long, n_shingles long, sid long, check long, keys array<long>"), "jaccard-sets")
     ids = rows.select("doc_id", "n_shingles", "sid")
     classes = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("a"), F.max("check").alias("b")), "jaccard-classes")
     if not classes.where("a <> b").isEmpty():
