@@ -73,17 +73,18 @@ near AS (
 QUERIES: dict[str, Query] = {}
 
 
-def per_doc(name: str, columns: dict[str, Column], sql: str, extra: bool = False) -> None:
-    """One row for each document."""
-    QUERIES[name] = Query(lambda spark, d: with_parts(docs(spark, d, extra)).select("doc_id", *[c.alias(n) for n, c in columns.items()]), f"{prelude(extra)}\nSELECT doc_id, {sql}")
+def per_doc(name: str, columns: Callable[[], dict[str, Column]], sql: str, extra: bool = False) -> None:
+    """One row for each document. Columns are made in the session that runs them."""
+    QUERIES[name] = Query(lambda spark, d: with_parts(docs(spark, d, extra)).select("doc_id", *[c.alias(n) for n, c in columns().items()]), f"{prelude(extra)}\nSELECT doc_id, {sql}")
 
 
-def per_sentence(name: str, index: str, columns: dict[str, Column], sql: str) -> None:
+def per_sentence(name: str, index: str, columns: Callable[[], dict[str, Column]], sql: str) -> None:
     """One row for each sentence, from arrays with an entry for each."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = with_parts(docs(spark, d, False)).select("doc_id", F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in columns.items()])).alias(index, "r"))
-        return rows.select("doc_id", index, *[F.col("r").getField(n).alias(n) for n in columns])
+        made = columns()
+        rows = with_parts(docs(spark, d, False)).select("doc_id", F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in made.items()])).alias(index, "r"))
+        return rows.select("doc_id", index, *[F.col("r").getField(n).alias(n) for n in made])
 
     QUERIES[name] = Query(run, f"{prelude(False)}\nSELECT doc_id, {sql}")
 
@@ -102,36 +103,36 @@ total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y).cast("long")  # n
 OWN, LOW, SHORT = 0.65, 0.15, 5
 SQL_GATED = lambda own, gate: f"(score >= {own} AND (n_words >= {SHORT} OR beside >= {gate}))"
 
-_joined = T.let(F.col("ss"), lambda ss: F.transform(ss, lambda _, i: F.array_join(F.slice(ss, i + 1, 3), " ")))
-_summed = T.let(F.col("n"), lambda n: F.transform(n, lambda _, i: total(F.slice(n, i + 1, 3))))
+_joined = lambda: T.let(F.col("ss"), lambda ss: F.transform(ss, lambda _, i: F.array_join(F.slice(ss, i + 1, 3), " ")))
+_summed = lambda: T.let(F.col("n"), lambda n: F.transform(n, lambda _, i: total(F.slice(n, i + 1, 3))))
 _gated = lambda own: T.gated_flags(F.col("sc"), F.col("n"), own, own, SHORT)
-per_sentence("sentence_split", "sent_idx", {"sent": F.col("ss")}, "i::INT AS sent_idx, sent FROM s")
-per_sentence("word_counts", "sent_idx", {"n_words": F.col("n")}, "i::INT AS sent_idx, len(ws)::INT AS n_words FROM w")
-per_sentence("sliding_windows", "win_idx", {"text": _joined, "n_words": _summed}, "i::INT AS win_idx, array_to_string(sents, ' ') AS text, len(ws)::BIGINT AS n_words FROM win")
-per_sentence("window_score", "win_idx", {"heuristic_score": F.transform("wsc", lambda x: F.round(x, 6))}, "i::INT AS win_idx, round(score, 6) AS heuristic_score FROM ws")
-per_sentence("sentence_score", "sent_idx", {"heuristic_score": F.transform("sc", lambda x: F.round(x, 6))}, "i::INT AS sent_idx, round(score, 6) AS heuristic_score FROM sc")
-per_sentence("sentence_flag", "sent_idx", {"flag": F.transform("sc", lambda x: x >= OWN)}, f"i::INT AS sent_idx, score >= {OWN} AS flag FROM sc")
+per_sentence("sentence_split", "sent_idx", lambda: {"sent": F.col("ss")}, "i::INT AS sent_idx, sent FROM s")
+per_sentence("word_counts", "sent_idx", lambda: {"n_words": F.col("n")}, "i::INT AS sent_idx, len(ws)::INT AS n_words FROM w")
+per_sentence("sliding_windows", "win_idx", lambda: {"text": _joined(), "n_words": _summed()}, "i::INT AS win_idx, array_to_string(sents, ' ') AS text, len(ws)::BIGINT AS n_words FROM win")
+per_sentence("window_score", "win_idx", lambda: {"heuristic_score": F.transform("wsc", lambda x: F.round(x, 6))}, "i::INT AS win_idx, round(score, 6) AS heuristic_score FROM ws")
+per_sentence("sentence_score", "sent_idx", lambda: {"heuristic_score": F.transform("sc", lambda x: F.round(x, 6))}, "i::INT AS sent_idx, round(score, 6) AS heuristic_score FROM sc")
+per_sentence("sentence_flag", "sent_idx", lambda: {"flag": F.transform("sc", lambda x: x >= OWN)}, f"i::INT AS sent_idx, score >= {OWN} AS flag FROM sc")
 for _name, _own in (("cluster_gate", OWN), ("cluster_gate_low", LOW)):
-    per_sentence(_name, "sent_idx", {"flag": _gated(_own)}, f"i::INT AS sent_idx, {SQL_GATED(_own, _own)} AS flag FROM near")
+    per_sentence(_name, "sent_idx", lambda own=_own: {"flag": _gated(own)}, f"i::INT AS sent_idx, {SQL_GATED(_own, _own)} AS flag FROM near")
+_flagged = lambda own: total(F.zip_with(_gated(own), "n", lambda f, n: F.when(f, n).otherwise(0)))
 for _name, _own in (("flagged_word_index", OWN), ("flagged_word_index_low", LOW)):
-    _flagged = total(F.zip_with(_gated(_own), "n", lambda f, n: F.when(f, n).otherwise(0)))
-    per_doc(_name, {"n_words": total(F.col("n")), "flagged_words": _flagged, "flagged_word_pct": F.round(T.flagged_word_pct(_flagged, total(F.col("n"))), 4)},
+    per_doc(_name, lambda own=_own: {"n_words": total(F.col("n")), "flagged_words": _flagged(own), "flagged_word_pct": F.round(T.flagged_word_pct(_flagged(own), total(F.col("n"))), 4)},
             f"""coalesce(sum(n_words), 0)::BIGINT AS n_words, coalesce(sum(n_words) FILTER ({SQL_GATED(_own, _own)}), 0)::BIGINT AS flagged_words,
     round(100 * (coalesce(sum(n_words) FILTER ({SQL_GATED(_own, _own)}), 0)::DOUBLE / nullif(sum(n_words)::DOUBLE, 0)), 4) AS flagged_word_pct
 FROM docs LEFT JOIN near USING (doc_id) GROUP BY doc_id""")
-per_doc("highlight", {"highlighted": F.array_join(F.zip_with("ss", _gated(LOW), lambda s, f: F.when(f, F.concat(F.lit("<<"), s, F.lit(">>"))).otherwise(s)), " ")},
+per_doc("highlight", lambda: {"highlighted": F.array_join(F.zip_with("ss", _gated(LOW), lambda s, f: F.when(f, F.concat(F.lit("<<"), s, F.lit(">>"))).otherwise(s)), " ")},
         f"coalesce(string_agg(CASE WHEN {SQL_GATED(LOW, LOW)} THEN '<<' || sent || '>>' ELSE sent END, ' ' ORDER BY i), '') AS highlighted FROM docs LEFT JOIN near USING (doc_id) GROUP BY doc_id")
 
-_mean = T.ratio(total(F.col("n")), F.size("n"))
-_var = T.let(_mean, lambda m: F.aggregate("n", F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size("n"))
-per_doc("burstiness_cv", {"burstiness_cv": F.when(F.size("n") > 0, F.round(F.try_divide(F.sqrt(_var), _mean), 6))},
+_mean = lambda: T.ratio(total(F.col("n")), F.size("n"))
+_var = lambda: T.let(_mean(), lambda m: F.aggregate("n", F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size("n"))
+per_doc("burstiness_cv", lambda: {"burstiness_cv": F.when(F.size("n") > 0, F.round(F.try_divide(F.sqrt(_var()), _mean()), 6))},
         "round(stddev_pop(len(ws)) / nullif(avg(len(ws)), 0), 6) AS burstiness_cv FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id")
-per_doc("vocab_ttr", {"vocab_ttr": F.round(T.ttr(F.col("ws")), 6)}, "round(len(list_distinct(ws))::DOUBLE / nullif(len(ws), 0), 6) AS vocab_ttr FROM dw")
+per_doc("vocab_ttr", lambda: {"vocab_ttr": F.round(T.ttr(F.col("ws")), 6)}, "round(len(list_distinct(ws))::DOUBLE / nullif(len(ws), 0), 6) AS vocab_ttr FROM dw")
 _be = ", ".join(map(quote, T.BE_FORMS))
-per_doc("passive_share", {"passive_share": F.when(F.col("lang") == "en", F.round(T.ratio(F.size(F.filter("sw", T.passive)), F.size("sw")), 6))},
+per_doc("passive_share", lambda: {"passive_share": F.when(F.col("lang") == "en", F.round(T.ratio(F.size(F.filter("sw", T.passive)), F.size("sw")), 6))},
         f"""round(CASE WHEN any_value(docs.lang) = 'en' THEN (count(*) FILTER (len(list_filter(generate_series(1, len(ws) - 1), lambda k: ws[k] IN ({_be}) AND regexp_matches(ws[k + 1], '(ed|en)$'))) > 0))::DOUBLE
     / nullif(count(w.doc_id), 0) END, 6) AS passive_share FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id""")
-per_doc("start_diversity", {"start_diversity": F.round(T.start_diversity(F.col("sw")), 6)}, "round(count(DISTINCT ws[1])::DOUBLE / nullif(count(w.doc_id), 0), 6) AS start_diversity FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id")
+per_doc("start_diversity", lambda: {"start_diversity": F.round(T.start_diversity(F.col("sw")), 6)}, "round(count(DISTINCT ws[1])::DOUBLE / nullif(count(w.doc_id), 0), 6) AS start_diversity FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id")
 
 
 def sql_hits(lexicon: list[str]) -> str:
@@ -139,47 +140,62 @@ def sql_hits(lexicon: list[str]) -> str:
     return "(" + " + ".join(map(one, lexicon)) + ")"
 
 
-per_cent = lambda c, n=F.size("ws"): F.round(100 * T.ratio(c, n), 6)
+per_cent = lambda c: F.round(100 * T.ratio(c, F.size("ws")), 6)
 for _name, _lexicon, _column in (("phrase_density", T.BANNED, "banned_per_100"), ("quantifier_density", T.QUANTIFIERS, "quantifiers_per_100")):
-    _hits = T.hits(F.col("ws"), _lexicon)
-    per_doc(_name, {_column: F.when(F.col("lang") == "en", per_cent(_hits))},
+    per_doc(_name, lambda lexicon=_lexicon, column=_column: {column: F.when(F.col("lang") == "en", per_cent(T.hits(F.col("ws"), lexicon)))},
             f"CASE WHEN lang = 'en' THEN round(100 * ({sql_hits(_lexicon)}::DOUBLE / nullif(len(ws), 0)), 6) END AS {_column} FROM dw", True)
 count = lambda p: F.size(T.found(F.col("text"), p))
 sql_count = lambda p: f"len(regexp_extract_all(text, {quote(p)}))::INT"
-per_doc("cf_audit", {"n_invisible": count(T.INVISIBLE)}, f"{sql_count(T.INVISIBLE)} AS n_invisible FROM docs", True)
-per_doc("cf_strip", {"text": F.col("text"), "stripped": F.regexp_replace("text", T.INVISIBLE, "")}, f"text, regexp_replace(text, {quote(T.INVISIBLE)}, '', 'g') AS stripped FROM docs", True)
-per_doc("em_dash_audit", {"n_em_dashes": count("—"), "em_dashes_per_100": per_cent(count("—"))}, f"{sql_count('—')} AS n_em_dashes, round(100 * ({sql_count('—')}::DOUBLE / nullif(len(ws), 0)), 6) AS em_dashes_per_100 FROM dw", True)
-per_doc("smart_punct_fold", {"n_smart": count("[“”‘’]"), "folded": F.translate("text", "“”‘’", "\"\"''")}, f"{sql_count('[“”‘’]')} AS n_smart, translate(text, '“”‘’', '\"\"''''') AS folded FROM docs", True)
-_preferred, _sql_preferred = F.size(F.filter("ws", lambda x: x.isin(T.PREFERRED))), f"len(list_filter(ws, lambda x: x IN ({', '.join(map(quote, T.PREFERRED))})))::INT"
-per_doc("preferred_vocab", {"n_preferred": _preferred}, f"{_sql_preferred} AS n_preferred FROM dw", True)
-per_doc("banned_phrases", {f"n{k}": T.phrase_hits(F.col("ws"), p) for k, p in enumerate(T.BANNED)}, ", ".join(f"{sql_hits([p])}::INT AS n{k}" for k, p in enumerate(T.BANNED)) + " FROM dw", True)
-per_doc("sentence_length", {"mean_words": F.round(_mean, 6), "max_words": F.array_max("n")}, "round(avg(len(ws)), 6) AS mean_words, max(len(ws))::INT AS max_words FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id")
+per_doc("cf_audit", lambda: {"n_invisible": count(T.INVISIBLE)}, f"{sql_count(T.INVISIBLE)} AS n_invisible FROM docs", True)
+per_doc("cf_strip", lambda: {"text": F.col("text"), "stripped": F.regexp_replace("text", T.INVISIBLE, "")}, f"text, regexp_replace(text, {quote(T.INVISIBLE)}, '', 'g') AS stripped FROM docs", True)
+per_doc("em_dash_audit", lambda: {"n_em_dashes": count("—"), "em_dashes_per_100": per_cent(count("—"))}, f"{sql_count('—')} AS n_em_dashes, round(100 * ({sql_count('—')}::DOUBLE / nullif(len(ws), 0)), 6) AS em_dashes_per_100 FROM dw", True)
+per_doc("smart_punct_fold", lambda: {"n_smart": count("[“”‘’]"), "folded": F.translate("text", "“”‘’", "\"\"''")}, f"{sql_count('[“”‘’]')} AS n_smart, translate(text, '“”‘’', '\"\"''''') AS folded FROM docs", True)
+_preferred = lambda: F.size(F.filter("ws", lambda x: x.isin(T.PREFERRED)))
+_sql_preferred = f"len(list_filter(ws, lambda x: x IN ({', '.join(map(quote, T.PREFERRED))})))::INT"
+per_doc("preferred_vocab", lambda: {"n_preferred": _preferred()}, f"{_sql_preferred} AS n_preferred FROM dw", True)
+per_doc("banned_phrases", lambda: {f"n{k}": T.phrase_hits(F.col("ws"), p) for k, p in enumerate(T.BANNED)}, ", ".join(f"{sql_hits([p])}::INT AS n{k}" for k, p in enumerate(T.BANNED)) + " FROM dw", True)
+per_doc("sentence_length", lambda: {"mean_words": F.round(_mean(), 6), "max_words": F.array_max("n")}, "round(avg(len(ws)), 6) AS mean_words, max(len(ws))::INT AS max_words FROM docs LEFT JOIN w USING (doc_id) GROUP BY doc_id")
 
 #: Style rules: columns of the measure and of the verdict, as Column and as SQL.
-_lines, _len = F.split("text", "\n"), F.length("text")
-_closer = F.coalesce(F.trim(T.last_line(F.col("text"))).endswith("?"), F.lit(False))
 _SQL_LINES = "string_split(text, chr(10))"
 _SQL_CLOSER = f"coalesce(suffix(trim(list_filter({_SQL_LINES}, lambda x: trim(regexp_replace(x, {quote(T.HASHTAG)}, '', 'g')) <> '')[-1]), '?'), false)"
 _SQL_PARAGRAPH = f"coalesce(list_max(list_transform(string_split(array_to_string(list_transform({_SQL_LINES}, lambda x: CASE WHEN trim(x) = '' THEN '0' ELSE '1' END), ''), '0'), lambda x: length(x))), 0)"
-_contract, _sql_contract = F.size(F.filter("ws", lambda x: x.rlike(T.CONTRACTION))), f"len(list_filter(ws, lambda x: regexp_matches(x, {quote(T.CONTRACTION)})))::INT"
-RULES: dict[str, tuple[str, Column, Column, str, str]] = {
-    "emoji_limit": ("n_emoji", count(T.EMOJI), count(T.EMOJI) <= 2, sql_count(T.EMOJI), f"{sql_count(T.EMOJI)} <= 2"),
-    "contractions": ("n_contractions", _contract, _contract > 0, _sql_contract, f"{_sql_contract} > 0"),
-    "hook_length": ("hook_chars", F.length(F.get(_lines, F.lit(0))), F.length(F.get(_lines, F.lit(0))) < 130, f"length({_SQL_LINES}[1])::INT", f"length({_SQL_LINES}[1]) < 130"),
-    "paragraph_lines": ("most_lines", T.longest_paragraph(F.col("text")), T.longest_paragraph(F.col("text")) <= 3, f"{_SQL_PARAGRAPH}::INT", f"{_SQL_PARAGRAPH} <= 3"),
-    "word_length_band": ("n_words", F.size("ws"), F.size("ws").between(180, 230), "len(ws)::INT", "len(ws) BETWEEN 180 AND 230"),
-    "char_length_band": ("n_characters", _len, _len.between(1050, 1300), "length(text)::INT", "length(text) BETWEEN 1050 AND 1300"),
-    "closer_question": ("last_line", T.last_line(F.col("text")), _closer, f"list_filter({_SQL_LINES}, lambda x: trim(regexp_replace(x, {quote(T.HASHTAG)}, '', 'g')) <> '')[-1]", _SQL_CLOSER),
-    "hashtag_count": ("n_hashtags", count(T.HASHTAG), count(T.HASHTAG).between(3, 4), sql_count(T.HASHTAG), f"{sql_count(T.HASHTAG)} BETWEEN 3 AND 4"),
+_sql_contract = f"len(list_filter(ws, lambda x: regexp_matches(x, {quote(T.CONTRACTION)})))::INT"
+MEASURES: dict[str, Callable[[], Column]] = {
+    "emoji_limit": lambda: count(T.EMOJI),
+    "contractions": lambda: F.size(F.filter("ws", lambda x: x.rlike(T.CONTRACTION))),
+    "hook_length": lambda: F.length(F.get(F.split("text", "\n"), F.lit(0))),
+    "paragraph_lines": lambda: T.longest_paragraph(F.col("text")),
+    "word_length_band": lambda: F.size("ws"),
+    "char_length_band": lambda: F.length("text"),
+    "closer_question": lambda: T.last_line(F.col("text")),
+    "hashtag_count": lambda: count(T.HASHTAG),
 }
-for _name, (_measure, _c, _ok, _sc, _sok) in RULES.items():
-    per_doc(_name, {_measure: _c, "ok": _ok}, f"{_sc} AS {_measure}, {_sok} AS ok FROM dw", True)
-_ok_banned, _sql_banned = T.hits(F.col("ws"), T.BANNED) == 0, f"{sql_hits(T.BANNED)} = 0"
-_all = {"preferred_vocab": (_preferred > 0, f"{_sql_preferred} > 0"), "banned_phrases": (_ok_banned, _sql_banned)} | {n: (r[2], r[4]) for n, r in RULES.items()}
-_passes = sum((c.cast("int") for c, _ in _all.values()), F.lit(0))
-_both = RULES["word_length_band"][2] & RULES["char_length_band"][2]
-per_doc("style_compliance", {f"{n}_ok": c for n, (c, _) in _all.items()} | {"both_length_bands_ok": _both, "n_pass": _passes},
-        ", ".join(f"{s} AS {n}_ok" for n, (_, s) in _all.items()) + f", {RULES['word_length_band'][4]} AND {RULES['char_length_band'][4]} AS both_length_bands_ok, (" + " + ".join(f"({s})::INT" for _, s in _all.values()) + ")::INT AS n_pass FROM dw", True)
+RULES: dict[str, tuple[str, Callable[[Column], Column], str, str]] = {
+    "emoji_limit": ("n_emoji", lambda c: c <= 2, sql_count(T.EMOJI), f"{sql_count(T.EMOJI)} <= 2"),
+    "contractions": ("n_contractions", lambda c: c > 0, _sql_contract, f"{_sql_contract} > 0"),
+    "hook_length": ("hook_chars", lambda c: c < 130, f"length({_SQL_LINES}[1])::INT", f"length({_SQL_LINES}[1]) < 130"),
+    "paragraph_lines": ("most_lines", lambda c: c <= 3, f"{_SQL_PARAGRAPH}::INT", f"{_SQL_PARAGRAPH} <= 3"),
+    "word_length_band": ("n_words", lambda c: c.between(180, 230), "len(ws)::INT", "len(ws) BETWEEN 180 AND 230"),
+    "char_length_band": ("n_characters", lambda c: c.between(1050, 1300), "length(text)::INT", "length(text) BETWEEN 1050 AND 1300"),
+    "closer_question": ("last_line", lambda c: F.coalesce(F.trim(c).endswith("?"), F.lit(False)), f"list_filter({_SQL_LINES}, lambda x: trim(regexp_replace(x, {quote(T.HASHTAG)}, '', 'g')) <> '')[-1]", _SQL_CLOSER),
+    "hashtag_count": ("n_hashtags", lambda c: c.between(3, 4), sql_count(T.HASHTAG), f"{sql_count(T.HASHTAG)} BETWEEN 3 AND 4"),
+}
+passes = lambda name: RULES[name][1](MEASURES[name]())
+for _name, (_measure, _, _sc, _sok) in RULES.items():
+    per_doc(_name, lambda name=_name, measure=_measure: {measure: MEASURES[name](), "ok": passes(name)}, f"{_sc} AS {_measure}, {_sok} AS ok FROM dw", True)
+_SQL_ALL = {"preferred_vocab": f"{_sql_preferred} > 0", "banned_phrases": f"{sql_hits(T.BANNED)} = 0"} | {n: r[3] for n, r in RULES.items()}
+
+
+def compliance() -> dict[str, Column]:
+    """Every rule's verdict, both length bands at once, and how many rules hold."""
+    every = {"preferred_vocab": _preferred() > 0, "banned_phrases": T.hits(F.col("ws"), T.BANNED) == 0} | {n: passes(n) for n in RULES}
+    number = sum((c.cast("int") for c in every.values()), F.lit(0))
+    return {f"{n}_ok": c for n, c in every.items()} | {"both_length_bands_ok": passes("word_length_band") & passes("char_length_band"), "n_pass": number}
+
+
+per_doc("style_compliance", compliance,
+        ", ".join(f"{s} AS {n}_ok" for n, s in _SQL_ALL.items()) + f", {RULES['word_length_band'][3]} AND {RULES['char_length_band'][3]} AS both_length_bands_ok, (" + " + ".join(f"({s})::INT" for s in _SQL_ALL.values()) + ")::INT AS n_pass FROM dw", True)
 
 
 def unigram_ppl(spark: SparkSession, sf_dir: str) -> DataFrame:
