@@ -5,9 +5,9 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one class (an id of 64 bits, checked with 64 more).
 2. Routing, without loss: in a size class, linked sets differ in at most D shingles. Shingles fall into K > D groups by hash, so
    linked sets agree wholly on K - D groups at least; K is SPARE times D + 1. Each set is sent to the hash of each group's
-   content. Groups with at most one shingle that isn't common (frequent in a sample) are left out unless a set has K - D or
-   more of them. Whether a group is so depends on its content alone, so linked sets that agree on more groups than one of them
-   leaves out still meet in another; the sample decides how much is sent, never what is found.
+   content, but for the K - D - 1 groups that rank lowest by their number of shingles that aren't common (frequent in a
+   sample), then by content. Of the groups on which linked sets agree, the highest has K - D - 1 others below it in both, so
+   both are sent to it; the sample decides how much is sent, never what is found.
 3. Sets that meet, directly or over others, form a block (connected components of the meetings).
 4. In each block, a signature tree is built over a tile of sets: leaves hold a bitmap of one set, nodes the OR of their
    children with ranges of sizes. Dual traversal of the tree with itself drops node pairs whose greatest possible overlap is too
@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import plain_words, slices, table, texts, written
+from textloom.llm.common import forget, plain_words, released, slices, table, texts, written
 from textloom.llm.components import components
 
 #: Sets in a tile, common sets that every tile of a block gets, children of a tree node, words that a worker keeps hashed.
 TILE, HUBS, FANOUT, CACHE = 256, 4, 8, 500_000
 #: Groups for each shingle, and one more, in which linked sets may differ.
-SPARE = 1.35
+SPARE = 1.5
 #: Documents of the sample, in how many of them a shingle is common, and how many shingles are kept as common.
 SAMPLE, COMMON_IN, MOST_COMMON = 4000, 3, 200_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -119,9 +119,8 @@ class Router:
             # sums of mixed hashes stand for a group's content; they only route, what meets is compared exactly
             content = np.zeros(k, dtype=np.uint64)
             np.add.at(content, group, mix(s * M1 + np.uint64(band)))
-            use = sizes > 1 if (sizes <= 1).sum() < k - d else np.ones(k, dtype=bool)
-            where = (np.uint64(band) << np.uint64(32)) + np.flatnonzero(use).astype(np.uint64)
-            out.append(mix(content[use] ^ mix(where * M1)))
+            key = mix(content ^ mix(((np.uint64(band) << np.uint64(32)) + np.arange(k, dtype=np.uint64)) * M1))
+            out.append(key[np.lexsort((key, sizes))[k - d - 1 :]])
         return out
 
 
@@ -299,13 +298,16 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = df.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
     rows = written(docs.mapInArrow(_sets(words, percent, common), "doc_id long, n_shingles long, sid long, check long, keys array<long>"), "jaccard-sets")
-    ids = rows.select("doc_id", "n_shingles", "sid")
+    ids = written(rows.select("doc_id", "n_shingles", "sid"), "jaccard-ids")
     classes = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("a"), F.max("check").alias("b")), "jaccard-classes")
     if not classes.where("a <> b").isEmpty():
         raise RuntimeError("two different sets have one 64-bit id")
     routes = rows.select(F.explode("keys").alias("key"), "sid")
     met = routes.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(_meetings, "a long, b long")
+    met = written(met, "jaccard-met")
+    forget(rows)
     blocks = components(met, "jaccard-blocks")
+    forget(met)
     member = blocks.select(F.col("node").alias("sid"), F.col("root").alias("block")).unionAll(blocks.select("root", "root").distinct())
     # ids are dealt to blocks and tiles first; texts join them last
     sizes = member.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
@@ -313,6 +315,7 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     wanted = classes.join(placed, "sid").select(F.col("doc_id").alias("id"), "sid")
     some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("sid", "text")
     held = written(some.mapInArrow(_same(words), "sid long, text string"), "jaccard-texts")
+    released(df.sparkSession)
 
     def links(units: DataFrame, name: str) -> DataFrame:
         dealt = units.join(held, "sid").select("unit", "sid", "label", "text").repartition(parts, "unit").sortWithinPartitions("unit")
@@ -324,6 +327,7 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     if not large.isEmpty():
         found = found.unionAll(links(_rest(large, components(found, "jaccard-first"), tile), "jaccard-rest"))
     roots = components(found, "jaccard-components")
+    forget(held)
     root_of = classes.select("sid", "doc_id").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     smallest = root_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = root_of.join(smallest, "root").select("sid", "component_id")
