@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import SPACED, slices, table, texts, tokenizer_file
 
 #: Entries that the two word caches of a Python worker hold; a full cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words and bytes that one recursive query contracts.
 QUERY_WORDS, QUERY_BYTES = 40_000, 500_000
 #: Words of up to so many bytes are contracted one pair a round.
@@ -113,7 +113,7 @@ class Engine:
         self.find = regex.compile(pattern).findall
         if pattern != _pattern(None):
             self._split = lambda blank, part: self.find(blank + part)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.con.register("given", merge_table(self.ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
@@ -124,6 +124,11 @@ class Engine:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the caches: the worker's next task may be another operator's."""
+        for cache in (self.words, self.first, self.later):
+            cache.clear()
+
     def _contract(self, words: list[str]) -> None:
         """Fill the cache for words that it lacks."""
         short, long = [], []
@@ -172,8 +177,7 @@ class Engine:
         split by the pattern once; a text with a blank before white space, or at its end, is split whole.
         """
         if max(len(self.words), len(self.first), len(self.later)) > CACHE_WORDS:
-            for cache in (self.words, self.first, self.later):
-                cache.clear()
+            self.forget()
         parted = [None if t is None else [t] if SPACED.search(t) else t.split(" ") for t in docs]
         firsts, laters = set(), set()
         for parts in parted:
@@ -264,12 +268,13 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks.value, pattern)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 6 << 20):
             ids = engine.encode(b.column("text").to_pylist())
             back = engine.decode(ids)
             columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
             columns += [pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for v in (ids, back)]
             yield pa.RecordBatch.from_arrays(columns + [_column(ids)] * with_ids, names=names)
+        engine.forget()
 
     return texts(df, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 

@@ -36,7 +36,7 @@ from textloom.llm.common import forget, plain_words, released, slices, table, te
 from textloom.llm.components import components
 
 #: Sets in a tile, common sets that every tile of a block gets, children of a tree node, words that a worker keeps hashed.
-TILE, HUBS, FANOUT, CACHE = 256, 4, 8, 500_000
+TILE, HUBS, FANOUT, CACHE = 256, 4, 8, 200_000
 #: Groups for each shingle, and one more, in which linked sets may differ.
 SPARE = 1.5
 #: Documents of the sample, in how many of them a shingle is common, and how many shingles are kept as common.
@@ -161,6 +161,7 @@ def _sets(n: int, percent: int, common) -> Callable:
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
             routes = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), routes], names=["doc_id", "n_shingles", "sid", "check", "keys"])
+        _hashes.clear()  # the worker's next task may be another operator's
 
     return run
 
