@@ -13,13 +13,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import SPACED, slices, table, texts, tokenizer_file
+from textloom.llm.common import SPACED, slices, table, texts, tidied, tokenizer_file
 
 #: Entries that the two word caches of a Python worker hold; a full cache starts anew.
 CACHE_WORDS = 200_000
@@ -103,7 +103,6 @@ class Engine:
     """The DuckDB database of one Python worker, with the merge table and the vocabulary."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        import duckdb
         import regex
 
         self.ranks = read_ranks(rank_file)
@@ -113,22 +112,36 @@ class Engine:
         self.find = regex.compile(pattern).findall
         if pattern != _pattern(None):
             self._split = lambda blank, part: self.find(blank + part)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        self.con.register("given", merge_table(self.ranks))
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.con.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
-        self.con.execute("CREATE TABLE vocab AS SELECT * FROM given")
-        self.con.unregister("given")
+        vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]})
+        self.tables = {"merges": merge_table(self.ranks), "vocab": vocab}
         # ids are kept as the bytes of little-endian 32-bit integers
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
+    @cached_property
+    def con(self):
+        import duckdb
+
+        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        for name, rows in self.tables.items():
+            con.register("given", rows)
+            con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        con.unregister("given")
+        return con
+
     def forget(self) -> None:
-        """Empty the caches: the worker's next task may be another operator's."""
+        """Empty the caches."""
         for cache in (self.words, self.first, self.later):
             cache.clear()
 
+    def close(self) -> None:
+        """Empty the caches and close the database: the worker's next task may be another operator's."""
+        self.forget()
+        if "con" in self.__dict__:
+            self.con.close()
+            del self.con
+
     def _contract(self, words: list[str]) -> None:
         """Fill the cache for words that it lacks."""
         short, long = [], []
@@ -243,7 +256,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
             ids = engine.encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _column(ids)], names=["doc_id", "ids"])
 
-    return texts(df, key, text).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern).close()), "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -258,7 +271,7 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str
                 rows = [np.array(x or [], dtype="<u4").tobytes() for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(engine.decode(rows), pa.binary())], names=["doc_id", "bytes"])
 
-    return df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"CAST(`{ids}` AS ARRAY<INT>) AS ids").mapInArrow(run, "doc_id long, bytes binary")
+    return df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"CAST(`{ids}` AS ARRAY<INT>) AS ids").mapInArrow(tidied(run, lambda: _engine(ranks.value, _pattern(None)).close()), "doc_id long, bytes binary")
 
 
 def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,9 +287,8 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
             columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
             columns += [pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for v in (ids, back)]
             yield pa.RecordBatch.from_arrays(columns + [_column(ids)] * with_ids, names=names)
-        engine.forget()
 
-    return texts(df, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern).close()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

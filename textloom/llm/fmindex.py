@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import alnum_words, slices, table, texts
+from textloom.llm.common import alnum_words, slices, table, texts, tidied
 
 #: Words of one window, and about how many words one index holds (a longer document has an index of its own).
 WINDOW, SHARD_WORDS = 10, 1_000_000
@@ -264,7 +264,7 @@ def search(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: i
         if docs:
             yield flush(ids, docs)
 
-    return texts(df, key, text).mapInArrow(run, schema)
+    return texts(df, key, text).mapInArrow(tidied(run), schema)
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -300,7 +300,7 @@ def removed(df: DataFrame, items: DataFrame, window: int = WINDOW, shard_words:
         for b in slices(batches, text, shard_words * 6):
             yield flush(b)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

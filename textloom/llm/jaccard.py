@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, plain_words, released, slices, table, texts, written
+from textloom.llm.common import forget, plain_words, released, slices, table, texts, tidied, written
 from textloom.llm.components import components
 
 #: Sets in a tile, common sets that every tile of a block gets, children of a tree node, words that a worker keeps hashed.
@@ -54,6 +54,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _hashes: dict[bytes, int] = {}
 
 
+def _forget_words() -> None:
+    _hashes.clear()
+
+
 def shingle_sets(values: list[str | None], n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its n-word shingles (of the whole sequence, if shorter)."""
     docs = [plain_words(t) for t in values]
@@ -138,7 +142,7 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(b.column("text").to_pylist(), n)).view(np.int64))], names=["h"])
 
     share = SAMPLE / max(SAMPLE, docs.count())
-    counts = docs.sample(False, share, 7).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_IN)
+    counts = docs.sample(False, share, 7).mapInArrow(tidied(run, _forget_words), "h long").groupBy("h").count().where(F.col("count") >= COMMON_IN)
     return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -161,9 +165,8 @@ def _sets(n: int, percent: int, common) -> Callable:
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
             routes = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), routes], names=["doc_id", "n_shingles", "sid", "check", "keys"])
-        _hashes.clear()  # the worker's next task may be another operator's
 
-    return run
+    return tidied(run, _forget_words)
 
 
 def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +282,7 @@ def _join_units(n: int, percent: int) -> Callable:
                 rows[sid] = (label, text)
         yield from flush()
 
-    return run
+    return tidied(run, _forget_words)
 
 
 def _same(n: int) -> Callable:
@@ -290,7 +293,7 @@ def _same(n: int) -> Callable:
             same = [len(s) > 0 and digest(s)[0] == i for s, i in zip(shingle_sets(b.column("text").to_pylist(), n), b.column("sid").to_pylist(), strict=True)]
             yield b.filter(pa.array(same))
 
-    return run
+    return tidied(run, _forget_words)
 
 
 def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,7 +307,7 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     if not classes.where("a <> b").isEmpty():
         raise RuntimeError("two different sets have one 64-bit id")
     routes = rows.select(F.explode("keys").alias("key"), "sid")
-    met = routes.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(_meetings, "a long, b long")
+    met = routes.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(tidied(_meetings), "a long, b long")
     met = written(met, "jaccard-met")
     forget(rows)
     blocks = components(met, "jaccard-blocks")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, table, written
+from textloom.llm.common import slices, table, tidied, written
 
 KEY, MOST_STEPS = b"textloom surrogate key: give your own", 40
 
@@ -208,7 +208,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             tried = walking.withColumn("surrogate", F.format_string("[%s]", F.upper("kind")))
             done = done.unionAll(tried)
             break
-        tried = written(walking.mapInArrow(stepped, schema).join(there, clash, "left").withColumn("taken", F.col("k").isNotNull()).drop("k", "e"), "pii-walk")
+        tried = written(walking.mapInArrow(tidied(stepped), schema).join(there, clash, "left").withColumn("taken", F.col("k").isNotNull()).drop("k", "e"), "pii-walk")
         free = tried.where("NOT taken").drop("taken")
         done = free if done is None else done.unionAll(free)
         walking = tried.where("taken").drop("taken")
@@ -231,7 +231,7 @@ def replaced(df: DataFrame, key: bytes = KEY, id: str = "doc_id", text: str = "t
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
     span = lambda *more: ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("kind", StringType()), *more]))
-    found = inner.mapInArrow(find, StructType([*inner.schema.fields, StructField("spans", span(StructField("entity", StringType())))]))
+    found = inner.mapInArrow(tidied(find), StructType([*inner.schema.fields, StructField("spans", span(StructField("entity", StringType())))]))
     dirty = written(found.where(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     mentions = dirty.select("row", F.posexplode("spans").alias("n", "s")).select("row", "n", F.col("s.kind").alias("kind"), F.col("s.entity").alias("entity"))
     known = surrogates(mentions.select("kind", "entity").distinct(), key)
@@ -256,7 +256,7 @@ def replaced(df: DataFrame, key: bytes = KEY, id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names=columns), pa.array(at, kind)], names=["doc", "entities"])
 
     out = StructType([inner.schema["doc"], StructField("entities", span())])
-    changed = dirty.join(named, "row").select("doc", "text", "spans", "new").mapInArrow(put, out)
+    changed = dirty.join(named, "row").select("doc", "text", "spans", "new").mapInArrow(tidied(put), out)
     clean = found.where(F.size("spans") == 0).select("doc", F.array().cast(span()).alias("entities"))
     both = clean.unionAll(changed)
     return both.select(*[F.col("doc").getField(c).alias(c) for c in columns], F.col("entities").alias("pii_entities"))

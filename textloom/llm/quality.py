@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fold, slices, table, texts
+from textloom.llm.common import fold, slices, table, texts, tidied
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "symbol_share", "digit_share", "upper_share", "distinct_share", "top_share",
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, held_o
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(_matrix(b.column("text").to_pylist())), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = texts(docs, key, text).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>")
+    rows = texts(docs, key, text).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(tidied(run), "doc_id long, y int, x array<double>")
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_labels).toArrow()
     X = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(got.num_rows, len(FEATURES))
     return Additive().fit(X, np.array(got.column("y").to_pylist(), dtype=np.float64))
@@ -182,7 +182,7 @@ def scored(df: DataFrame, model: Additive, text: str = "text") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+    return df.mapInArrow(tidied(run), StructType([*df.schema.fields, StructField("score", DoubleType())]))
 
 
 def kept(df: DataFrame, model: Additive, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
