@@ -164,6 +164,37 @@ def test_lm_base(spark, docs):
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws), rel_tol=1e-9) and r.score < 0
 
 
+def test_lm_attention_adds_to_its_biases(docs):
+    encoder = lm.Encoder(open(P.path("word_bpe_49k.json")).read(), False)
+    ids = lm._ids(encoder, list(docs.text))
+    seen, unseen = ids[:150], ids[150:]
+    flat = np.concatenate([np.append(lm.START, x) for x in seen]).astype(np.int64)
+    pairs = lm._pair_counts((flat[:-1] * (lm.IDS + 1) + flat[1:])[flat[1:] != lm.START])
+    model = lm.Model(np.bincount(np.concatenate(seen), minlength=lm.IDS), None, pairs)
+    for k in ("Wa", "Wb", "Wc"):
+        model.w[k] *= 0
+    inputs, targets, _ = lm.windows(unseen)
+    alone = model.forward(inputs, targets).sum()
+    model = lm.Model(np.bincount(np.concatenate(seen), minlength=lm.IDS), None, pairs)
+    lm.train_on(model, seen)
+    assert model.forward(inputs, targets).sum() > alone
+
+
+def test_lm_probabilities_sum_to_one():
+    rnd = np.random.default_rng(0)
+    ids = rnd.integers(0, 300, 5000) * 160
+    keys, counts = np.unique(ids[:-1] * (lm.IDS + 1) + ids[1:], return_counts=True)
+    model = lm.Model(np.bincount(ids, minlength=lm.IDS), None, (keys, counts))
+    inputs, total = np.full((1000, lm.WINDOW), -1, dtype=np.int32), 0.0
+    inputs[:, lm.CONTEXT - 5 : lm.CONTEXT + 1] = ids[:6]
+    for s in range(0, lm.IDS, 1000):
+        n = min(1000, lm.IDS - s)
+        targets = np.full((n, lm.NEW), -1, dtype=np.int32)
+        targets[:, 0] = np.arange(s, s + n)
+        total += float(np.exp(model.forward(inputs[:n], targets)[:, 0].astype(np.float64)).sum())
+    assert math.isclose(total, 1, rel_tol=1e-4)
+
+
 def test_lm_windows_score_each_token_once():
     rnd = np.random.default_rng(0)
     docs = [rnd.integers(0, 49_000, n) for n in (1, 47, 48, 49, 200)]
