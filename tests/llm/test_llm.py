@@ -204,6 +204,15 @@ def test_lm_windows_score_each_token_once():
         assert t[t >= 0].tolist() == d.tolist()
 
 
+def test_lm_trains_on_every_document(spark, docs):
+    spec = spark.sparkContext.broadcast(open(P.path("word_bpe_49k.json")).read())
+    counts = np.ones(lm.IDS, dtype=np.int64)
+    start = lm.Model(counts).w
+    for i, t in list(zip(docs.doc_id, docs.text, strict=True))[:8]:
+        one = spark.createDataFrame([(int(i), t)], "doc_id long, text string")
+        assert (lm.trained(one, counts, lm.NO_PAIRS, spec).w["Wa"] != start["Wa"]).any(), i
+
+
 def test_lm_learns(docs):
     rnd = np.random.default_rng(0)
     seen = [np.tile(rnd.permutation(50), 8) for _ in range(1)] * 60
