@@ -209,10 +209,29 @@ def test_lm_trains_on_every_document(spark, docs):
     counts = np.ones(lm.IDS, dtype=np.int64)
     start = lm.Model(counts).w
     for i, t in list(zip(docs.doc_id, docs.text, strict=True))[:8]:
-        one = spark.createDataFrame([(int(i), t)], "doc_id long, text string")
+        one = spark.createDataFrame([(int(i), t, [])], f"doc_id long, text string, rest {lm.REST}")
         assert (lm.trained(one, counts, lm.NO_PAIRS, spec).w["Wa"] != start["Wa"]).any(), i
 
 
+def test_lm_reaches_every_pair(spark):
+    spec = spark.sparkContext.broadcast(open(P.path("word_bpe_49k.json")).read())
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    pairs = lm.counted(df, spec).where("pair IS NOT NULL")
+    counts, (every, _, nothing) = lm._by_id(pairs), lm.parted(pairs)
+    head, held, rest = lm.parted(pairs, 2000)
+    assert nothing is None and len(head[0]) <= 2000 < len(every[0]) == pairs.count()
+    whole, joined = lm.Model(counts, None, every), lm.Model(counts, None, head)
+    found = lm.reaching(df, held, rest, spec, "lm-test").toArrow().combine_chunks().to_batches()[0]
+    assert found.num_rows == df.count()
+    for b in (found.slice(0, 7), found.slice(7)):
+        inputs, targets, _ = lm.windows(lm._ids(lm.Encoder(spec.value, False), b.column("text").to_pylist()))
+        alone = joined.forward(inputs, targets)
+        joined.biases.reach(b.column("rest"))
+        assert np.allclose(joined.forward(inputs, targets), whole.forward(inputs, targets), rtol=1e-4, atol=1e-4) and not np.allclose(alone, whole.forward(inputs, targets), rtol=1e-2)
+        joined.biases.more = None
+    assert all(r.score < 0 for r in lm.score(df.limit(10), most_pairs=100).collect())
+
+
 def test_lm_learns(docs):
     rnd = np.random.default_rng(0)
     seen = [np.tile(rnd.permutation(50), 8) for _ in range(1)] * 60
