@@ -122,6 +122,13 @@ def test_surrogates(spark, odd):
     assert len({pii.permuted(i, 1000, b"k", "t") for i in range(1000)}) == 1000
 
 
+@pytest.mark.parametrize("key", [pii.KEY, b"another key"])
+def test_given_names_all_change(key):
+    for g, names in pii.GIVEN.items():
+        new = [pii.step(f"given-{g}", x, key) for x in names]
+        assert sorted(new) == sorted(names) and all(x != y for x, y in zip(names, new, strict=True))
+
+
 def components(ids, sets, percent):
     root = list(range(len(ids)))
     find = lambda k: k if root[k] == k else find(root[k])
