@@ -129,6 +129,18 @@ def test_given_names_all_change(key):
         assert sorted(new) == sorted(names) and all(x != y for x, y in zip(names, new, strict=True))
 
 
+def test_used_up_formats_get_longer_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_STEPS", 3)
+    names = [*"abcdefghijklmnopqrstuvwxyz", "ß", pii.step("name", pii.longer("name", "a", 1)), pii.longer("name", "b", 1)]
+    rows = [("name", x) for x in names] + [("secret", x) for x in ("******", "######")]
+    got = [(r.kind, r.entity, r.surrogate) for r in pii.surrogates(spark.createDataFrame(rows, "kind string, entity string")).collect()]
+    assert sorted((k, e) for k, e, _ in got) == sorted(rows) and len({(k, s) for k, _, s in got}) == len(got)
+    assert not {(k, s) for k, _, s in got} & set(rows) and all(s.isalpha() for _, _, s in got)
+    for kind, e in (("email", "a@x.com"), ("phone", "5553733"), ("ssn", "123456789"), ("card", "4111111111111111"), ("ip", "1.2.3.4"), ("iban", "DE12"), ("awskey", "AKIA0"), ("name", "田")):
+        new = [pii.step(kind, pii.longer(kind, e, k)) for k in range(1, 9)]
+        assert len({*new, e}) == 9 and all(len(x) > len(e) for x in new)
+
+
 def components(ids, sets, percent):
     root = list(range(len(ids)))
     find = lambda k: k if root[k] == k else find(root[k])

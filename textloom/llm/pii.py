@@ -5,8 +5,9 @@ permutation of all strings of that format, so one entity has one surrogate every
 digits, hex becomes hex, letters become letters of the same script, case, and (in Latin) kind of sound; card check digits hold,
 address octets stay octets, domains keep their ending. Given names after a title become given names of the same gender.
 
-A surrogate that is itself an entity of the corpus is replaced by its own surrogate, and so on until it is none; walking a
-permutation that way keeps distinct entities distinct. One whose walk finds none in MOST_STEPS becomes its type in brackets.
+A surrogate that is itself an entity of the corpus, or that another entity has, is given up, and the entity's next one comes from
+another keyed permutation, so distinct entities have distinct surrogates. One that finds none in MOST_STEPS, as its format is used
+up, gets a longer string of the same script.
 
 Null texts stay null, texts without entities stay as they are. Repeated rows are replaced each. Ids may be null or repeated: a
 document is known by its id and its text. Nothing is collected: entities are checked against each other by joins.
@@ -15,13 +16,14 @@ document is known by its id and its text. Nothing is collected: entities are che
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import slices, table, tidied, written
@@ -148,7 +150,7 @@ def step(kind: str, e: str, key: bytes = KEY) -> str:
         local, _, domain = e.partition("@")
         labels, end = domain.rsplit(".", 1)
         return f"{_letters(local, key, 'local' + domain)}@{_letters(labels, key, 'domain')}.{end}"
-    if kind == "ip":
+    if kind == "ip" and "." in e:
         octets = [int(x) for x in e.split(".")]
         usual = 1 <= octets[0] <= 223
         first, sizes = (octets[0] - 1, 223) if usual else (0 if octets[0] == 0 else octets[0] - 223, 33)
@@ -174,6 +176,28 @@ def step(kind: str, e: str, key: bytes = KEY) -> str:
     return _letters(e, key, kind)
 
 
+def longer(kind: str, e: str, turn: int) -> str:
+    """A longer string of the entity's script, another one for each entity and turn; digits for numbers."""
+    data = b"\x01" + turn.to_bytes(2, "big") + e.encode("utf-8", "surrogatepass")
+    cycle = [CONSONANTS, VOWELS]
+    if kind in ("phone", "card", "ssn", "iban", "ip"):
+        cycle = ["0123456789"]
+    elif kind == "awskey":
+        cycle = [CONSONANTS.upper(), VOWELS.upper()]
+    elif kind == "name":
+        cycle = next(([a] for c in e if not c.isascii() and len(a := _alphabet(c)) > 1), cycle) if not any(c.isascii() and c.isalpha() for c in e) else cycle
+    n, size, out = int.from_bytes(data, "big"), 1, []
+    while size < 256 ** len(data) or len(out) < 2 * turn:
+        a = cycle[len(out) % len(cycle)]
+        n, k = divmod(n, len(a))
+        size *= len(a)
+        out.append(a[k])
+    new = "".join(out)
+    if kind == "email":
+        return f"{new}@{e.partition('@')[2]}"
+    return (e[:4] if kind == "awskey" else e[:2] if kind == "iban" else "") + new
+
+
 def spelt(kind: str, original: str, surrogate: str) -> str:
     """The surrogate with the original's separators and case."""
     if kind in ("phone", "card", "ssn", "iban"):
@@ -191,30 +215,32 @@ _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind
 
 
 def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, entity, surrogate for distinct (kind, entity) rows; surrogates that are entities themselves walk on."""
-    known = written(entities, "pii-entities")
-
-    def stepped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [step(k, c, key) for k, c in zip(b.column("kind").to_pylist(), b.column("surrogate").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
-
-    schema = "kind string, entity string, surrogate string"
-    there = known.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
-    clash = (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("e")) & ~F.col("kind").startswith("given-")
-    done, walking = None, known.withColumn("surrogate", F.col("entity"))
-    for k in range(MOST_STEPS + 1):
-        if k == MOST_STEPS:
-            tried = walking.withColumn("surrogate", F.format_string("[%s]", F.upper("kind")))
-            done = done.unionAll(tried)
-            break
-        tried = written(walking.mapInArrow(tidied(stepped), schema).join(there, clash, "left").withColumn("taken", F.col("k").isNotNull()).drop("k", "e"), "pii-walk")
-        free = tried.where("NOT taken").drop("taken")
+    """kind, entity, surrogate for distinct (kind, entity) rows; no surrogate is an entity or another's surrogate."""
+    walking, done = written(entities, "pii-entities"), None
+    taken = walking.select(F.col("kind").alias("k"), F.col("entity").alias("e")).where("NOT startswith(k, 'given-')")
+
+    def stepped(turn: int):
+        more = turn // MOST_STEPS
+        own = key if turn == 0 else hashlib.blake2b(turn.to_bytes(8, "big"), key=key[:64], digest_size=32).digest()
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)
+                new = [step(k, longer(k, e, more) if more else e, own) for k, e in rows]
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("entity"), pa.array(new, pa.string())], names=["kind", "entity", "surrogate"])
+
+        return tidied(run)
+
+    for turn in itertools.count():
+        new = walking.mapInArrow(stepped(turn), "kind string, entity string, surrogate string")
+        new = new.withColumn("n", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity")))
+        met = new.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("e")), "left")
+        tried = written(met.select("kind", "entity", "surrogate", (F.col("k").isNotNull() | (F.col("n") > 1)).alias("clash")), "pii-walk")
+        free, walking = tried.where("NOT clash").drop("clash"), tried.where("clash").select("kind", "entity")
         done = free if done is None else done.unionAll(free)
-        walking = tried.where("taken").drop("taken")
         if walking.isEmpty():
-            break
-    return done
+            return done
+        taken = taken.unionAll(free.select("kind", "surrogate"))
 
 
 def replaced(df: DataFrame, key: bytes = KEY, id: str = "doc_id", text: str = "text") -> DataFrame:
