@@ -141,6 +141,19 @@ def test_used_up_formats_get_longer_surrogates(spark, monkeypatch):
         assert len({*new, e}) == 9 and all(len(x) > len(e) for x in new)
 
 
+def test_names_are_one_person_throughout(spark):
+    texts = ["Ms. Anna Smith came. Later Smith's car, and SMITH and Anna, left; A smith stayed.", "Dr Anna met Ms. Anna and Frau Anna Smith.", "Dr. J. Smith said: J. Smith and Smith agree. J is a letter. Prof. J.R. Weber", "Dr. A. The end. A man."]
+    spans = [[(t[a:b], e) for a, b, _, e in pii.detect(t)] for t in texts]
+    assert spans[0] == [("Anna", "anna"), ("Smith", "smith"), ("Smith", "smith"), ("SMITH", "smith"), ("Anna", "anna")]
+    assert spans[1] == [("Anna", "anna")] * 3 + [("Smith", "smith")]
+    assert spans[2] == [("J", "j"), ("Smith", "smith"), ("J", "j"), ("Smith", "smith"), ("Smith", "smith"), ("J", "j"), ("R", "r"), ("Weber", "weber")]
+    assert spans[3] == [("A", "a")]
+    assert {k for t in texts for _, _, k, e in pii.detect(t) if e == "anna"} == {"given-f"} and not set(pii.GIVEN["m"]) & set(pii.GIVEN["f"])
+    got = [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert not any(x in t for t in got for x in ("Anna", "Smith", "SMITH", "Weber")) and "J is a letter" in got[2] and "smith stayed" in got[0] and got[3].endswith("The end. A man.")
+    assert got[0].split()[1] == got[1].split()[1] == got[1].split()[4]
+
+
 def components(ids, sets, percent):
     root = list(range(len(ids)))
     find = lambda k: k if root[k] == k else find(root[k])

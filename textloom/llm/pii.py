@@ -1,9 +1,11 @@
 """Operator 5: surrogates for personal data and secrets.
 
-Entities are found by patterns and by titles before names. Each gets a replacement of its own type and format from a keyed
+Entities are found by patterns and by titles before names; names found so are replaced wherever they stand capitalised in the same
+document, initials only beside a name. Function words are names only beside a title. Each gets a replacement of its own type and format from a keyed
 permutation of all strings of that format, so one entity has one surrogate everywhere and two never share one. Digits become
 digits, hex becomes hex, letters become letters of the same script, case, and (in Latin) kind of sound; card check digits hold,
-address octets stay octets, domains keep their ending. Given names after a title become given names of the same gender.
+address octets stay octets, domains keep their ending. Listed given names become listed given names of the same gender; the name alone
+decides, not the title before it.
 
 A surrogate that is itself an entity of the corpus, or that another entity has, is given up, and the entity's next one comes from
 another keyed permutation, so distinct entities have distinct surrogates. One that finds none in MOST_STEPS, as its format is used
@@ -47,8 +49,12 @@ PATTERNS = [
     ("phone", re.compile(r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"), "0"),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), "0"),
 ]
-NAME = re.compile(r"\b((?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r"))\b(\.?\s+)((?:[^\W\d_]+(?:[-'][^\W\d_]+)*)(?:\s+[^\W\d_]+(?:[-'][^\W\d_]+)*){0,2})")
-TITLE_HINT = re.compile(r"\b(?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?\s")
+_TITLE, _WORD, _INITIAL = r"\b((?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r"))\b", r"[^\W\d_]+(?:[-'][^\W\d_]+)*", r"(?<![^\W_])[^\W\d_]\."
+_PART = rf"(?:{_INITIAL}\s*)*{_WORD}"
+NAME = re.compile(rf"{_TITLE}(\.?\s+)({_PART}(?:\s+{_PART}){{0,2}})")
+TITLE_HINT = re.compile(rf"{_TITLE}\.?\s")
+WORD, INITIALS = re.compile(_WORD), re.compile(rf"(?:{_INITIAL}\s*)+\Z")
+FUNCTION_WORDS = frozenset("a an the and or but if in on at of to for from by with as is was are were be he she it they we you i this that these those his her its their our my your not no der die das ein eine und oder in im am zu von mit auf ist war er sie es wir ihr ich le la les un une et ou de du des en à est il elle nous vous je el los las una y o del al es era él ella".split())
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -64,15 +70,24 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             a, b = m.span(1) if pattern.groups else m.span()
             found.append((a, rank, b, kind, entity(kind, text[a:b])))
     if TITLE_HINT.search(text):
+        names = set()
         for m in NAME.finditer(text):
-            gender, words, at = TITLES[m[1].lower()], [], m.start(3)
-            for w in re.finditer(r"\S+", m[3]):
-                if not w[0][0].isupper() and w[0][0].lower() != w[0][0].upper():
+            after_initial = False
+            for w in WORD.finditer(text, m.start(3), m.end(3)):
+                a, b, e = _name(w)
+                if not _capital(e) or after_initial and e.lower() in FUNCTION_WORDS and text[b : b + 1] != ".":
                     break
-                words.append((at + w.start(), at + w.end(), w[0]))
-            for k, (a, b, w) in enumerate(words):
-                given = gender if k == 0 and len(words) > 1 and w.lower() in GIVEN.get(gender, ()) else ""
-                found.append((a, len(PATTERNS), b, f"given-{given}" if given else "name", w.lower()))
+                after_initial = len(e) == 1 and text[b : b + 1] == "."
+                found.append((a, len(PATTERNS), b, *_named(e)))
+                names.add(e.lower())
+        if names:
+            for w in WORD.finditer(text):
+                a, b, e = _name(w)
+                if len(e) == 1 or not _capital(e) or e.lower() not in names or e.lower() in FUNCTION_WORDS:
+                    continue
+                found.append((a, len(PATTERNS) + 1, b, *_named(e)))
+                if before := INITIALS.search(text, max(0, a - 24), a):
+                    found.extend((x.start(), len(PATTERNS) + 1, x.end(), *_named(x[0])) for x in WORD.finditer(text, before.start(), a))
     out, end = [], -1
     for a, _, b, kind, e in sorted(found):
         if a >= end:
@@ -81,6 +96,23 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _name(w: re.Match) -> tuple[int, int, str]:
+    """First and last character of a word without the 's of a genitive, and the word."""
+    e = re.sub("'[sS]$", "", w[0])
+    return w.start(), w.start() + len(e), e
+
+
+def _capital(e: str) -> bool:
+    """True of letters without case, too."""
+    return e[0].isupper() or e[0].lower() == e[0].upper()
+
+
+def _named(e: str) -> tuple[str, str]:
+    """Type and entity of a name: the same after any title and without one."""
+    low = e.lower()
+    return next((f"given-{g}" for g, names in GIVEN.items() if low in names), "name"), low
+
+
 def entity(kind: str, s: str) -> str:
     if kind == "email":
         return s.lower()
@@ -218,6 +250,8 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, entity, surrogate for distinct (kind, entity) rows; no surrogate is an entity or another's surrogate."""
     walking, done = written(entities, "pii-entities"), None
     taken = walking.select(F.col("kind").alias("k"), F.col("entity").alias("e")).where("NOT startswith(k, 'given-')")
+    listed = [("name", x) for names in GIVEN.values() for x in names]  # given names have surrogates among them
+    taken = taken.unionAll(walking.sparkSession.createDataFrame(listed, "k string, e string"))
 
     def stepped(turn: int):
         more = turn // MOST_STEPS
