@@ -322,6 +322,15 @@ def test_licences(spark, odd):
     assert got[20] == "MIT" and got[21] is None and got[0] is None and len(got) == 13
 
 
+def test_full_licence_texts(spark):
+    known = licences.full_texts()
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"} <= {i for i, _ in known}
+    files = [("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + licences.KNOWN[0][1]), ("ISC", "ISC License\n\nCopyright 2020 Someone\n\n" + licences.KNOWN[1][1])]
+    df = spark.createDataFrame([(k, t.replace("\n", "\r\n" if k % 2 else "\n")) for k, (_, t) in enumerate(known + files)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan(df).collect()}
+    assert [got[k] for k in range(len(known) + 2)] == [i for i, _ in known + files]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 

@@ -4,12 +4,15 @@ A text is normalised (A-Z to lower case, copyright lines dropped, equivalent spe
 single blanks) and its SHA-256 is joined with the digests of known licence texts and notices.
 
 Null and empty texts, or texts of nothing but copyright lines, have an empty normal form and match nothing. Repeated rows stay.
-Two known texts with one normal form count once, by the smaller id, so a document has one row. The known table is a handful of
-rows (its size is checked before it is broadcast). Only the key and text columns of the documents are read.
+Two known texts with one normal form count once, by the smaller id, so a document has one row. The known table is that of KNOWN and
+of the full texts in licence_texts.json, each with and without its title (its size is checked before it is broadcast). Only the key and text columns of the documents are read.
 """
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,12 @@ KNOWN = [
 ]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """SPDX id and text of the data file's licences, alone and below each of their titles."""
+    entries = json.loads(Path(__file__).with_name("licence_texts.json").read_text(encoding="utf-8"))
+    return [(x["license_id"], t) for x in entries for t in (x["text"], *(f"{title}\n\n{x['text']}" for title in x["titles"]))]
+
+
 def normal(text: Column) -> Column:
     t = F.translate(text, UPPER, LOWER)
     t = F.regexp_replace(t, COPYRIGHT_LINE, "")
@@ -47,7 +56,7 @@ def normal(text: Column) -> Column:
 def scan(df: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, license_id (null where no known text has the digest)."""
     if known is None:
-        known = df.sparkSession.createDataFrame(KNOWN, "license_id string, text string")
+        known = df.sparkSession.createDataFrame(KNOWN + full_texts(), "license_id string, text string")
     digests = known.select(F.col("license_id").cast("string").alias("license_id"), normal(F.col("text").cast("string")).alias("n")).where("n <> ''")
     digests = digests.groupBy(F.sha2("n", 256).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
     if digests.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN:
