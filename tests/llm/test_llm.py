@@ -300,8 +300,8 @@ def test_wavelet_files(spark, odd, docs):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
-    rows = [(int(i), t) for i, t in zip(docs.doc_id, docs.text, strict=True)] + [(100_000 + i, t) for i, t in enumerate(ODD)]
+    more = [*ODD, "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>, x", "ÀÉ, İ. ſß: e\u0301, J\u030c x,.y 'S a.'s ...!", "\t end\u00a0of\u2003it ١٢ ª.", "word " * 20_000]
+    rows = [(int(i), t) for i, t in zip(docs.doc_id, docs.text, strict=True)] + [(100_000 + i, t) for i, t in enumerate(more)]
     got = wavelet.read(wavelet.write(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=3000)).orderBy("doc_id").collect()
     start = 0
     for (i, t), r in zip(sorted(rows), got, strict=True):
@@ -312,7 +312,13 @@ def test_wavelet_files(spark, odd, docs):
     ids = np.array([5, 1, 5, 9, 1, 1, 0, 9])
     r = wavelet.Reader(wavelet.pack(ids, [1, None], [3, 5]))
     assert r.all().tolist() == r.access(np.arange(8)).tolist() == ids.tolist() and r.doc_ids == [1, None]
+    assert r.document(0).tolist() == [5, 1, 5] and r.document(1).tolist() == [9, 1, 1, 0, 9]
     assert r.count(1) == 3 and r.count(9, 0, 4) == 1 and r.count(77) == 0 and r.occurrences(1).tolist() == [1, 4, 5] and r.occurrences(9).tolist() == [3, 7]
+    ids = np.random.default_rng(3).integers(0, 70_000, 5000) // np.random.default_rng(4).integers(1, 70_000, 5000)
+    r = wavelet.Reader(wavelet.pack(ids, [None], [5000]))
+    assert r.all().tolist() == r.access(np.arange(5000)).tolist() == ids.tolist()
+    for x in {0, 1, 2, 69_999, *ids[:50].tolist()}:
+        assert r.occurrences(x).tolist() == np.flatnonzero(ids == x).tolist() and r.count(x, 77, 4000) == (ids[77:4000] == x).sum()
 
 
 def test_licences(spark, odd):

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,24 @@ def alnum_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(ALNUM).split()
 
 
+def coded_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """plain_words() of a whole batch: a code for each word in order, where each text's words end, and the distinct words (binary)
+    that the codes number. Without `lower`, capitals stay."""
+    texts_ = column.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts_) if lower else texts_)
+    coded = lists.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # stands at the edges of texts that begin or end with white space
+        there = codes != empty
+        ends = np.append(0, np.cumsum(there))[ends]
+        codes = codes[there]
+        codes = codes - (codes > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
+    return codes, ends, words.cast(pa.binary())
+
+
 def fold(remainder: int, modulus: int = 5, column: str = "doc_id") -> Column:
     """True where crc32(id as text) mod `modulus` is `remainder`; null ids are in no fold."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
