@@ -196,82 +196,149 @@ def test_lm_base(spark, docs):
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws), rel_tol=1e-9) and r.score < 0
 
 
-def test_lm_attention_adds_to_its_biases(docs):
-    encoder = lm.Encoder(open(P.path("word_bpe_49k.json")).read(), False)
-    ids = lm._ids(encoder, list(docs.text))
-    seen, unseen = ids[:150], ids[150:]
-    flat = np.concatenate([np.append(lm.START, x) for x in seen]).astype(np.int64)
-    pairs = lm._pair_counts((flat[:-1] * (lm.IDS + 1) + flat[1:])[flat[1:] != lm.START])
-    model = lm.Model(np.bincount(np.concatenate(seen), minlength=lm.IDS), None, pairs)
-    for k in ("Wa", "Wb", "Wc"):
-        model.w[k] *= 0
-    inputs, targets, _ = lm.windows(unseen)
-    alone = model.forward(inputs, targets).sum()
-    model = lm.Model(np.bincount(np.concatenate(seen), minlength=lm.IDS), None, pairs)
-    lm.train_on(model, seen)
-    assert model.forward(inputs, targets).sum() > alone
+def lm_docs(rnd, n, most=60):
+    docs = [rnd.integers(0, 900, rnd.integers(1, most)) for _ in range(n)]
+    return np.concatenate(docs), np.cumsum([len(d) for d in docs])
+
+
+def lm_model(ids, size=1000):
+    model = lm.Model(np.bincount(ids, minlength=size), np.arange(size) % 2 == 0)
+    rnd = np.random.default_rng(9)
+    for w in model.w.values():
+        w += rnd.standard_normal(w.shape).astype(np.float32) * 0.2
+    return model
+
+
+def plain_attention(model, before, target):
+    """The model's formula for one token, without batches, windows or masks."""
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    x = w["E"][before] + w["P"][: len(before)]
+    size = lm.DIM // lm.HEADS
+    parts = []
+    for h in range(lm.HEADS):
+        own = slice(h * size, (h + 1) * size)
+        q, k, v = x[-1] @ w["Wq"][:, own], x @ w["Wkv"][:, own], x @ w["Wkv"][:, lm.DIM :][:, own]
+        a = np.exp(k @ q / math.sqrt(size))
+        parts.append(a @ v / a.sum())
+    z = np.append(x[-1] + np.concatenate(parts) @ w["Wo"], 1)
+    p = np.exp(z @ w["W"])
+    c = model.first[target]
+    out = math.log(p[c] / p.sum()) + model.inside[target]
+    if c >= lm.SINGLES:
+        p = np.exp(z @ w["W2"][c - lm.SINGLES])
+        out += math.log(p[model.second[target]] / p.sum())
+    return out
+
+
+def test_lm_forward_is_plain_attention():
+    rnd = np.random.default_rng(0)
+    ids, ends = lm_docs(rnd, 6, 90)
+    model, start = lm_model(ids), 0
+    got = model.logs(ids, ends)
+    for end in ends.tolist():
+        d = ids[start:end]
+        for k in range(len(d)):
+            first = max(0, k // lm.NEW * lm.NEW - lm.CONTEXT)  # the window's first input
+            pads = lm.CONTEXT + 1 if k < lm.NEW else 1
+            stream = np.concatenate([[model.size] * pads, d]) if k < lm.NEW else np.concatenate([[model.size], d])
+            before = stream[first : first + (k - k // lm.NEW * lm.NEW) + lm.CONTEXT + 1] if k >= lm.NEW else stream[: k + lm.CONTEXT + 1]
+            assert math.isclose(got[start + k], plain_attention(model, before, d[k]), rel_tol=1e-3, abs_tol=1e-3), k
+        start = end
 
 
 def test_lm_probabilities_sum_to_one():
-    rnd = np.random.default_rng(0)
-    ids = rnd.integers(0, 300, 5000) * 160
-    keys, counts = np.unique(ids[:-1] * (lm.IDS + 1) + ids[1:], return_counts=True)
-    model = lm.Model(np.bincount(ids, minlength=lm.IDS), None, (keys, counts))
-    inputs, total = np.full((1000, lm.WINDOW), -1, dtype=np.int32), 0.0
+    ids, _ = lm_docs(np.random.default_rng(0), 20)
+    model = lm_model(ids)
+    inputs = np.full((model.size, lm.WINDOW), model.size, dtype=np.int32)
     inputs[:, lm.CONTEXT - 5 : lm.CONTEXT + 1] = ids[:6]
-    for s in range(0, lm.IDS, 1000):
-        n = min(1000, lm.IDS - s)
-        targets = np.full((n, lm.NEW), -1, dtype=np.int32)
-        targets[:, 0] = np.arange(s, s + n)
-        total += float(np.exp(model.forward(inputs[:n], targets)[:, 0].astype(np.float64)).sum())
-    assert math.isclose(total, 1, rel_tol=1e-4)
+    targets = np.full((model.size, lm.NEW), model.size + 1, dtype=np.int32)
+    targets[:, 0] = np.arange(model.size)
+    out = model.forward(inputs, targets)
+    assert math.isclose(float(np.exp(out[:, 0].astype(np.float64)).sum()), 1, rel_tol=1e-3) and (out[:, 1:] == 0).all()
+
+
+def test_lm_gradients():
+    rnd = np.random.default_rng(1)
+    ids, ends = lm_docs(rnd, 8)
+    model = lm_model(ids)
+    inputs, targets, _ = lm.windows(ids, ends, model.size, 0)
+    _, n, g = model.gradients(inputs, targets)
+    assert n == len(ids)
+    wide = np.zeros_like(model.w["E"])
+    wide[g["rows"]] = g["E"]
+    for name, grad in [*((k, g[k]) for k in model.names), ("E", wide)]:
+        direction = rnd.standard_normal(grad.shape).astype(np.float32) * (np.abs(grad) > 0)
+        losses = []
+        for sign in (1, -1):
+            model.w[name] += np.float32(sign * 2e-3) * direction
+            losses.append(-model.forward(inputs, targets).sum(dtype=np.float64) / n)
+            model.w[name] -= np.float32(sign * 2e-3) * direction
+        assert math.isclose((losses[0] - losses[1]) / 4e-3, float((grad * direction).sum()), rel_tol=0.03, abs_tol=2e-3), name
 
 
 def test_lm_windows_score_each_token_once():
+    for context in (0, lm.CONTEXT):
+        ids, ends = np.concatenate([np.arange(n) for n in (1, 23, 24, 25, 200, 32)]), np.cumsum([1, 23, 24, 25, 200, 32])
+        inputs, targets, places = lm.windows(ids, ends, 1000, context)
+        assert sorted(places[places >= 0].tolist()) == list(range(len(ids))) and (ids[places[places >= 0]] == targets[places >= 0]).all()
+        assert ((places >= 0) == (targets < 1000)).all()
+        t = targets < 1000
+        assert (np.where(targets[t] == 0, 1000, targets[t] - 1) == inputs[:, context:][t]).all()
+
+
+def test_lm_trains_on_every_document(spark, docs, monkeypatch):
+    """Every document's ids reach train_on() in the replicas, and the average moves the weights."""
+    monkeypatch.setattr(lm, "REPLICA_BYTES", 100_000)
+    v = lm.Vocabulary(spark, None)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(5)
+    ids, counts = lm.encoded(rows, v, 1)
+    training = ids.where(~lm.fold(1))
+    by_id = np.zeros(v.size, dtype=np.int64)
+    for r in counts.where("id IS NOT NULL").collect():
+        by_id[r.id] = r.c
+    kept = [r.ids for r in training.collect()]
+    assert by_id.sum() == sum(len(x) // 2 for x in kept) and len(kept) == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in docs.doc_id)
+    model = lm.trained(training, by_id, v)
+    assert (model.w["W"] != lm.Model(by_id, v.final).w["W"]).any()
+    total, change = lm._mean([(1 + k, lm._dump({"W": np.full((2, 2), k, dtype=np.float32), "rows": np.array([k]), "E": np.ones((1, lm.DIM), dtype=np.float32)})) for k in range(3)])
+    assert total == 6 and np.allclose(change["W"], (0 * 1 + 1 * 2 + 2 * 3) / 6) and np.allclose(change["E"][:, 0], [1 / 6, 2 / 6, 3 / 6])
+
+
+def test_lm_frequent_words(spark):
+    words = spark.createDataFrame([(f"w{k}".encode(), k // 3 + 1) for k in range(300)] + [(b"x" * 100, 10**6)], "word binary, c long")
+    got = lm.frequent(words, 50)
+    assert 40 <= len(got) <= 50 and min(got.values()) > max(k // 3 + 1 for k in range(300) if f"w{k}".encode() not in got) and lm.frequent(words.limit(0)) == {}
+
+
+def test_lm_odd_rows(spark, odd):
+    got = lm.score(odd, most_head=3).collect()
+    words = collections.Counter()
+    texts = [*ODD, "no id", "same text"]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in [*range(len(ODD)), None, 7]]
+    for t, h in zip(texts, held, strict=True):
+        words.update([] if h else [*plain_words(t), None])
+    want = sorted((len(plain_words(t)) + 1, sum(words[w] > 0 for w in [*plain_words(t), None]), sum(words.values())) for t in texts)
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == want and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    same = {r.score for r in got if r.doc_id in (7, 8)}
+    assert max(same) - min(same) < 1e-4
+
+
+def test_lm_learns():
     rnd = np.random.default_rng(0)
-    docs = [rnd.integers(0, 49_000, n) for n in (1, 47, 48, 49, 200)]
-    _, targets, doc = lm.windows(docs)
-    for k, d in enumerate(docs):
-        t = targets[doc == k].ravel()
-        assert t[t >= 0].tolist() == d.tolist()
-
-
-def test_lm_trains_on_every_document(spark, docs):
-    spec = spark.sparkContext.broadcast(open(P.path("word_bpe_49k.json")).read())
-    counts = np.ones(lm.IDS, dtype=np.int64)
-    start = lm.Model(counts).w
-    for i, t in list(zip(docs.doc_id, docs.text, strict=True))[:8]:
-        one = spark.createDataFrame([(int(i), t, [])], f"doc_id long, text string, rest {lm.REST}")
-        assert (lm.trained(one, counts, lm.NO_PAIRS, spec).w["Wa"] != start["Wa"]).any(), i
-
-
-def test_lm_reaches_every_pair(spark):
-    spec = spark.sparkContext.broadcast(open(P.path("word_bpe_49k.json")).read())
-    df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
-    pairs = lm.counted(df, spec).where("pair IS NOT NULL")
-    counts, (every, _, nothing) = lm._by_id(pairs), lm.parted(pairs)
-    head, held, rest = lm.parted(pairs, 2000)
-    assert nothing is None and len(head[0]) <= 2000 < len(every[0]) == pairs.count()
-    whole, joined = lm.Model(counts, None, every), lm.Model(counts, None, head)
-    found = lm.reaching(df, held, rest, spec, "lm-test").toArrow().combine_chunks().to_batches()[0]
-    assert found.num_rows == df.count()
-    for b in (found.slice(0, 7), found.slice(7)):
-        inputs, targets, _ = lm.windows(lm._ids(lm.Encoder(spec.value, False), b.column("text").to_pylist()))
-        alone = joined.forward(inputs, targets)
-        joined.biases.reach(b.column("rest"))
-        assert np.allclose(joined.forward(inputs, targets), whole.forward(inputs, targets), rtol=1e-4, atol=1e-4) and not np.allclose(alone, whole.forward(inputs, targets), rtol=1e-2)
-        joined.biases.more = None
-    assert all(r.score < 0 for r in lm.score(df.limit(10), most_pairs=100).collect())
-
-
-def test_lm_learns(docs):
-    rnd = np.random.default_rng(0)
-    seen = [np.tile(rnd.permutation(50), 8) for _ in range(1)] * 60
-    model = lm.Model(np.bincount(np.concatenate(seen), minlength=lm.IDS))
-    inputs, targets, _ = lm.windows(seen[:2])
-    before = model.forward(inputs, targets).sum()
-    lm.train_on(model, seen * 4)
-    assert model.forward(inputs, targets).sum() > 0.5 * before
+    seen = np.concatenate([np.tile(rnd.permutation(50), 8)] * 60)
+    ends = np.arange(400, len(seen) + 1, 400)
+    model = lm.Model(np.bincount(seen, minlength=1000), np.zeros(1000, dtype=bool))
+    before = model.logs(seen[:800], ends[:2]).sum()
+    for k in range(4):
+        lm.train_on(model, seen, ends, 0.03, k)
+    assert model.logs(seen[:800], ends[:2]).sum() > 0.3 * before
+
+
+def test_lm_beats_its_base_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0").repartition(4)
+    got = lm.score(docs).where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
 
 
 def test_shards(spark, docs, odd):
