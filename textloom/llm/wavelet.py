@@ -30,7 +30,7 @@ from textloom.llm.common import coded_words, slices, table, texts, tidied, token
 
 END_ID, SHARD_TOKENS, BLOCK = 1, 1 << 19, 256
 #: Words that the cache of a Python worker holds; a full cache starts anew.
-CACHE = 500_000
+CACHE = 400_000
 MAGIC = b"WMX2"
 
 
@@ -95,8 +95,9 @@ class Plane:
         return word * 64 + low.astype(np.int64)
 
 
-def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-    """File image: MAGIC, bit width, ids, documents, zeros of each plane, then sizes of the parts, then the parts."""
+def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], before: int = 0) -> bytes:
+    """File image: MAGIC, bit width, ids, documents, ids in the earlier files of its part, zeros of each plane, then sizes of the
+    parts of the image, then the parts."""
     symbols = ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)
     width = max(1, int(symbols.max(initial=0)).bit_length())
     parts, zeros = [], []
@@ -108,7 +109,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byte
         symbols = np.concatenate([symbols[~ones], symbols[ones]])
     known = np.array([i is not None for i in doc_ids], dtype=np.uint8)
     parts += [_zip(np.array([i or 0 for i in doc_ids], dtype="<i8").tobytes()), _zip(known.tobytes()), _zip(np.array(lengths, dtype="<i8").tobytes())]
-    head = MAGIC + struct.pack("<BQQ", width, len(ids), len(lengths)) + struct.pack(f"<{width}Q", *zeros)
+    head = MAGIC + struct.pack("<BQQQ", width, len(ids), len(lengths), before) + struct.pack(f"<{width}Q", *zeros)
     return head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
 
@@ -118,8 +119,8 @@ class Reader:
     def __init__(self, image: bytes):
         if image[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        self.width, self.n, docs = struct.unpack_from("<BQQ", image, 4)
-        at = 4 + struct.calcsize("<BQQ")
+        self.width, self.n, docs, self.before = struct.unpack_from("<BQQQ", image, 4)
+        at = 4 + struct.calcsize("<BQQQ")
         self.zeros = struct.unpack_from(f"<{self.width}Q", image, at)
         at += 8 * self.width
         sizes = struct.unpack_from(f"<{2 * self.width + 3}Q", image, at)
@@ -194,8 +195,12 @@ PLAIN, LETTER_END = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$", "[0-9A-Za-zÀ-ÖØ-öø-
 
 def gathered(pool: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Pieces of the pool in a row."""
-    stop = np.cumsum(length)
-    return pool[np.repeat(first - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
+    stop = np.cumsum(length, dtype=np.int64)
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((first - (stop - length)).astype(kind), length)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 @lru_cache(maxsize=2)
@@ -268,11 +273,16 @@ class Encoder:
         if self.whole:
             each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return np.concatenate([np.zeros(0, dtype=np.uint32), *each]), np.cumsum([len(x) for x in each], dtype=np.int64)
+        ids, n, ends = self.by_word(column)
+        return ids, np.append(0, np.cumsum(n))[ends]
+
+    def by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, the number of ids of each word of plain_words(), and where each text's words end."""
         if len(self.words) > CACHE:
             self.forget()
         codes, ends, distinct = coded_words(column, lower=False)
         if not len(codes):
-            return np.zeros(0, dtype=np.uint32), ends
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), ends
         parts = distinct.cast(pa.string())
         # marks behind such an end are a word of their own, and plain words have no case
         cores = pc.utf8_rtrim(parts, TAIL)
@@ -294,29 +304,29 @@ class Encoder:
         else:
             pool = self.pool
         n = length[codes]
-        return gathered(pool, first[codes], n), np.append(0, np.cumsum(n))[ends]
+        return gathered(pool, first[codes], n), n, ends
 
 
 def write(df: DataFrame, path: str | None = None, whole: bool = False, shard_tokens: int = SHARD_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the files; returns the written table: part, seq (order of files), n_tokens, image."""
+    """Write the files; returns the written table: part (the writing task), n_tokens, image."""
     with open(path or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(spec.value, whole), TaskContext.get().partitionId(), 0
+        encoder, part, before = Encoder(spec.value, whole), TaskContext.get().partitionId(), 0
         docs: list = []
         ids: list[np.ndarray] = []
         lengths: list[int] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            image = pack(np.concatenate(ids), docs, lengths)
-            row = {"part": [part], "seq": [seq], "n_tokens": [size], "image": [image]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("image", pa.binary())]))
+            image = pack(np.concatenate(ids), docs, lengths, before)
+            row = {"part": [part], "n_tokens": [size], "image": [image]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("n_tokens", pa.int64()), ("image", pa.binary())]))
 
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 8 << 20):
             flat, stops = encoder.encode(b.column("text"))
             flat = np.insert(flat, stops, END_ID)
             ends = stops + np.arange(1, len(stops) + 1)
@@ -332,43 +342,38 @@ def write(df: DataFrame, path: str | None = None, whole: bool = False, shard_tok
                     size, first, a = size + z - a, first + n, z
                 if first < len(own):
                     yield flush()
-                    docs, ids, lengths, size, seq = [], [], [], 0, seq + 1
+                    docs, ids, lengths, size, before = [], [], [], 0, before + size
         if docs:
             yield flush()
 
     ordered = texts(df, key, text).withColumn("tie", F.crc32(F.col("text").cast("binary"))).orderBy("doc_id", "tie").select("doc_id", "text")
-    return written(ordered.mapInArrow(tidied(run, lambda: Encoder(spec.value, whole).forget()), "part int, seq int, n_tokens long, image binary"), "wavelet")
+    return written(ordered.mapInArrow(tidied(run), "part int, n_tokens long, image binary"), "wavelet")
 
 
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
-    A part is one task of the writer, so the driver's sums are as many as those tasks; files within a part are summed by a
-    window over that part.
+    A part is one task of the writer, so the driver's sums are as many as those tasks; a file knows what its part has before it.
     """
-    from pyspark.sql import Window as W
-
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts, at = {}, 0
     for r in parts:
         starts[r.part] = at
         at += r.n
     shared = files.sparkSession.sparkContext.broadcast(starts)
-    sums = files.select("part", "seq", (F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("before"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, before, image in zip(*(b.column(c) for c in ("part", "before", "image")), strict=True):
+            for part, image in zip(b.column("part"), b.column("image"), strict=True):
                 r = Reader(image.as_py())
                 flat = memoryview(r.all().astype("<u4")).cast("B")
                 ends = np.cumsum(r.lengths)
                 first = ends - r.lengths
                 crc = [zlib.crc32(flat[a * 4 : z * 4]) for a, z in zip(first.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(r.doc_ids, pa.int64()), pa.array(first + shared.value[part.as_py()] + before.as_py()), pa.array(r.lengths), pa.array(crc, pa.int64())]
+                columns = [pa.array(r.doc_ids, pa.int64()), pa.array(first + shared.value[part.as_py()] + r.before), pa.array(r.lengths), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = files.select("part", "seq", "image").join(sums, ["part", "seq"]).select("part", "before", "image")
-    return joined.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "image").mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
