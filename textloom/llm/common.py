@@ -58,8 +58,11 @@ def fold(remainder: int, modulus: int = 5, column: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, a new local one, but on
+    a single machine only."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -92,10 +95,10 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a written table that nothing will read again, and the shuffles behind it."""
-    _remove(df.sparkSession, df.written_to)
-    released(df.sparkSession)
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df.written_to)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
