@@ -101,6 +101,24 @@ def forget(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df.written_to)
 
 
+#: Bits of a bitmap of hashed keys: its table has BITS / 64 rows of 16 bytes at most, whatever the number of keys.
+BITS = 1 << 25
+
+
+def bitmap(keys: DataFrame, column: str, name: str) -> DataFrame:
+    """(bitmap_word, bitmap_bits): the hashed values of a column, as a table that `may_hold` broadcasts; its size is bounded by BITS."""
+    slots = keys.select(F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(BITS)).alias("slot")).selectExpr("slot div 64 AS bitmap_word", "shiftleft(1L, CAST(slot % 64 AS INT)) AS bit")
+    return written(slots.groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits")), name)
+
+
+def may_hold(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """The rows with `bitmap_hit`: false only where the bitmap lacks the column's value; null values are no hits."""
+    slot = f"pmod(xxhash64({column}), {BITS}L)"
+    joined = df.withColumn("bitmap_word", F.expr(f"{slot} div 64")).join(F.broadcast(words), "bitmap_word", "left")
+    hit = F.expr(f"{column} IS NOT NULL AND coalesce(bitmap_bits & shiftleft(1L, CAST({slot} % 64 AS INT)), 0) <> 0")
+    return joined.withColumn("bitmap_hit", hit).drop("bitmap_word", "bitmap_bits")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the strings of one slice take about `most_bytes` at most (one row at least)."""
     for batch in batches:

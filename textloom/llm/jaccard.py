@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.common import coded_words, forget, released, slices, table, texts, tidied, written
+from textloom.llm.common import bitmap, coded_words, forget, may_hold, released, slices, table, texts, tidied, written
 from textloom.llm.components import components
 
 #: Sets and shingles in a tile, common sets that every tile of a block gets, children of a tree node, most bits of a set's bitmap.
@@ -411,7 +411,9 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     # nodes are dealt to blocks and tiles first; texts join them last
     sizes = member.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")).where("tiles > 1")
     placed = written(_by_block(member.select("block", "node"), sizes, "left").select("block", "node", F.coalesce("tiles", F.lit(1)).alias("tiles")), "jaccard-placed")
-    some = docs.join(member.drop("block", "n"), docs["doc_id"].eqNullSafe(F.col("id")) & (F.col("h") == F.col("id_h"))).select("node", "sid", "check", "text")
+    # most texts meet nothing: a bitmap keeps them out of the shuffle
+    near = may_hold(docs, "h", bitmap(member, "id_h", "jaccard-bitmap")).where("bitmap_hit").drop("bitmap_hit")
+    some = near.join(member.drop("block", "n"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("id_h"))).select("node", "sid", "check", "text")
     held = written(some.mapInArrow(_same(words), "node long, text string"), "jaccard-texts")
     released(spark)
 
@@ -472,10 +474,15 @@ def _rest(large: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
 def representatives(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, all columns, of the document with the smallest id of each component. Rows of one id are one document; rows
     without an id can't be told apart and all stay."""
-    linked = join(df, words, percent, key=key, text=text)
-    keep = linked.where("doc_id = component_id").select(F.col("doc_id").alias("kept id")).distinct()
-    named = df.join(keep, F.col(f"`{key}`").cast("long") == F.col("kept id"), "left_semi")
-    return named.unionAll(df.where(F.col(f"`{key}`").isNull()))
+    linked = join(df, words, percent, key=key, text=text).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("dropped id"), "component_id")
+    dropped = linked.groupBy("dropped id").agg(F.max(F.col("dropped id") == F.col("component_id")).alias("kept")).where("NOT kept")
+    dropped = written(dropped.select("dropped id"), "jaccard-dropped")
+    # documents outside the bitmap stay where they are; the others are looked up
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{key}`").cast("long").alias("bitmap_key"))
+    rows = may_hold(rows, "bitmap_key", bitmap(dropped, "dropped id", "jaccard-bitmap"))
+    found = rows.where("bitmap_hit").join(dropped, F.col("bitmap_key") == F.col("dropped id"), "left_anti")
+    both = rows.where("NOT bitmap_hit").select("doc").unionAll(found.select("doc"))
+    return both.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
 
 
 def op6_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
