@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import SPACED, slices, table, texts, tidied, tokenizer_file
 
 #: Entries that the two word caches of a Python worker hold; a full cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Words and bytes that one recursive query contracts.
 QUERY_WORDS, QUERY_BYTES = 40_000, 500_000
+#: Ids that one decoding query takes.
+DECODE_IDS = 250_000
 #: Words of up to so many bytes are contracted one pair a round.
 SHORT = 48
 
@@ -207,16 +209,22 @@ class Engine:
         return [b"" if p is None else self.first[p[0]] + b"".join(map(later, p[1:])) for p in parted]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes that each row of ids stands for."""
-        flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
+        """The bytes that each row of ids stands for, by queries over rows of about DECODE_IDS ids together (one row at least)."""
         out = [b""] * len(ids)
-        if len(flat):
-            doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
-            self.con.register("tok", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-            rows = self.con.execute(DECODE).fetchall()
-            self.con.unregister("tok")
-            for k, piece in rows:
-                out[k] = piece.encode("latin-1")
+        stop = 0
+        while (start := stop) < len(ids):
+            size = 0
+            while stop < len(ids) and (stop == start or size + len(ids[stop]) // 4 <= DECODE_IDS):
+                size += len(ids[stop]) // 4
+                stop += 1
+            flat = np.frombuffer(b"".join(ids[start:stop]), dtype="<u4").astype(np.int32)
+            if len(flat):
+                doc = np.repeat(np.arange(start, stop, dtype=np.int32), [len(x) // 4 for x in ids[start:stop]])
+                self.con.register("tok", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+                rows = self.con.execute(DECODE).fetchall()
+                self.con.unregister("tok")
+                for k, piece in rows:
+                    out[k] = piece.encode("latin-1")
         return out
 
 
@@ -281,7 +289,7 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks.value, pattern)
-        for b in slices(batches, "text", 6 << 20):
+        for b in slices(batches, "text", 3 << 20):
             ids = engine.encode(b.column("text").to_pylist())
             back = engine.decode(ids)
             columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
