@@ -28,7 +28,52 @@ def test_query_equals_its_sql(spark, db, name):
     assert got and got == rows(db.execute(QUERIES[name].sql).df())
 
 
-@pytest.mark.parametrize("name", ["emoji_limit", "contractions", "hashtag_count", "closer_question"])
+ODD = [(1, "One. Two words. Three words here.", "en"), (1, "One. Two words. Three words here.", "en"), (2, None, "en"), (3, "", None), (4, "...", "fr"), (None, "No id. No id.", "en"), (7, None, "de"), (8, "x\u200d#a #b #c", None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Tables with nulls, repeated rows and ids, empty texts, clashing further columns; and empty ones."""
+    full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("full", "empty"))
+    rows = [(*r, "a", "b", 1.5, "c") for r in ODD]
+    schema = "doc_id long, text string, lang string, source string, rid string, score double, n_words string"
+    events = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for folder, some in ((full, rows), (empty, [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], events).write.parquet(f"{folder}/events.parquet")
+    return full, empty
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"reach_multiple"}))
+def test_query_equals_its_sql_on_odd_rows(spark, odd, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{odd[0]}/documents.parquet/*.parquet')")
+    got, found = QUERIES[name].run(spark, odd[0]), con.execute(QUERIES[name].sql)
+    names = [c[0] for c in found.description]
+    plain = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert plain(map(tuple, got.select(names).collect())) == plain(found.fetchall()) and sorted(got.columns) == sorted(names)
+    if name not in ("tone_profiles", "persona_sheet", "corpus_rollup"):
+        assert QUERIES[name].run(spark, odd[1]).count() == 0
+
+
+def test_detect_options(spark):
+    from textloom.operators.detect import detect
+
+    df = spark.createDataFrame([(1, "Aa bb. Aa bb. Aa bb cc dd ee.", "x"), (2, None, "y")], "doc_id long, text string, n_words string")
+    got = {r.doc_id: r for r in detect(df, scorer=lambda ts: [1.0] * len(ts), style=T.ansi).collect()}
+    assert got[1].flagged_words == got[1].n_words == 9 and got[1].highlighted.startswith("\x1b[36mAa bb.\x1b[0m ") and got[2].n_words == 0 and got[2].flagged_word_pct is None
+    got = detect(df, mode="sentence", scorer=lambda ts: [float(len(t) > 10) for t in ts]).where("doc_id = 1").first()
+    assert (got.n_words, got.flagged_words, got.highlighted) == (9, 5, "Aa bb. Aa bb. <<Aa bb cc dd ee.>>")
+    with pytest.raises(ValueError):
+        detect(df, mode="other")
+
+
+def test_allowed_invisible_characters(spark):
+    got = spark.createDataFrame([("a\u200db\u200bc\u00add",)], "t string").select(T.without_invisible(F.col("t"), "\u200d"), T.without_invisible(F.col("t"))).first()
+    assert tuple(got) == ("a\u200dbcd", "abcd")
+
+
+@pytest.mark.parametrize("name", ["emoji_limit", "contractions", "hashtag_count", "closer_question", "hashtags_at_end"])
 def test_rules_have_both_outcomes(spark, name):
     assert {r.ok for r in QUERIES[name].run(spark, SF).select("ok").distinct().collect()} == {True, False}
 
@@ -68,7 +113,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "p.md").write_text("# Sheet\n\n## Who\n- **Name:** N\n\n## How\n- **Emoji:** Rarely\ntext\n")
     tones = files.tone_profiles(spark, str(tmp_path / "t.json"))
     assert {r.tone for r in tones.collect()} == {"plain", "own"}
-    assert [tuple(r) for r in files.persona(spark, str(tmp_path / "p.md")).collect()] == [("Who", "Name", "N"), ("How", "Emoji", "Rarely")]
+    (tmp_path / "q.md").write_text("no heading yet\n1. first\n## How\n2. second\n")
+    got = {tuple(r) for r in files.persona(spark, str(tmp_path / "[pq].md")).select("section", "key", "value", "position").collect()}
+    assert got == {("Who", "Name", "N", None), ("How", "Emoji", "Rarely", None), (None, None, "first", 1), ("How", None, "second", 2)}
     joined = files.with_tone(spark.createDataFrame([("own",), ("none",)], "tone string"), tones)
     assert {r.tone: r.label for r in joined.collect()} == {"own": "Own", "none": None}
     assert files.drafts(spark, str(tmp_path / "p.md")).count() == 1

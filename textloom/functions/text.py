@@ -16,6 +16,10 @@ BE_FORMS = ["is", "are", "was", "were", "be", "been", "being", "am"]
 EMOJI, HASHTAG, INVISIBLE, CONTRACTION = r"[\x{1F300}-\x{1FAFF}]", r"#[\p{L}\p{N}_]+", r"\p{Cf}", r"^.+['’](t|s|re|ve|ll|d|m)$"
 
 
+#: Hashtags, and white space between them, at the very end.
+HASHTAG_TAIL = r"(?:\s*#[\p{L}\p{N}_]+)+\s*$"
+
+
 def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -118,3 +122,24 @@ def longest_paragraph(text: Column) -> Column:
 def last_line(text: Column) -> Column:
     """Last line with more than hashtags; null if there is none."""
     return F.get(F.reverse(F.filter(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, HASHTAG, "")) != "")), F.lit(0))
+
+
+def without_invisible(text: Column, allowed: str = "") -> Column:
+    """The text without invisible characters (category Cf), but for the allowed ones."""
+    kept = "".join(f"\\x{{{ord(c):x}}}" for c in allowed)
+    return F.regexp_replace(text, rf"[\p{{Cf}}&&[^{kept}]]" if allowed else INVISIBLE, "")
+
+
+def hashtags_at_end(text: Column) -> Column:
+    """Hashtags that nothing but white space and other hashtags follows."""
+    return F.size(found(F.regexp_extract(text, HASHTAG_TAIL, 0), HASHTAG))
+
+
+def ansi(sentence: Column, flag: Column) -> Column:
+    """A flagged sentence in cyan for terminals."""
+    return F.when(flag, F.concat(F.lit("\x1b[36m"), sentence, F.lit("\x1b[0m"))).otherwise(sentence)
+
+
+def marked(sentence: Column, flag: Column) -> Column:
+    """A flagged sentence between << and >>."""
+    return F.when(flag, F.concat(F.lit("<<"), sentence, F.lit(">>"))).otherwise(sentence)

@@ -1,18 +1,15 @@
-"""The flagged-word index over a stream of documents: the array plan is one projection, so it runs as it is."""
+"""The flagged-word index over a stream of documents: the array plan is one projection, so it runs as it is.
+
+Null texts count as empty, with a null index; every row that arrives is scored, repeated ones too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from textloom.functions import text as T
+from textloom.operators.detect import detect
 
 
 def flagged_words(docs: DataFrame, own: float = 0.65, gate: float = 0.65, short: int = 5) -> DataFrame:
     """doc_id, n_words, flagged_words, flagged_word_pct for a batch or streaming DataFrame of doc_id and text."""
-    df = docs.select("doc_id", F.transform(T.sentences(F.col("text")), lambda s: T.words(s)).alias("sw"))
-    df = df.withColumn("n", F.transform("sw", lambda w: F.size(w)))
-    flags = T.gated_flags(T.sentence_scores(T.window_scores(F.col("sw"))), F.col("n"), own, gate, short)
-    add = lambda a, x: a + x
-    df = df.select("doc_id", F.aggregate("n", F.lit(0), add).alias("n_words"), F.aggregate(F.zip_with(flags, "n", lambda f, n: F.when(f, n).otherwise(0)), F.lit(0), add).alias("flagged_words"))
-    return df.withColumn("flagged_word_pct", T.flagged_word_pct(F.col("flagged_words"), F.col("n_words")))
+    return detect(docs.select("doc_id", "text"), own=own, gate=gate, short=short).select("doc_id", "n_words", "flagged_words", "flagged_word_pct")
