@@ -35,7 +35,7 @@ def test_empty_tables(spark):
     d, e = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "vec_id long, embedding array<float>")
     items = spark.createDataFrame([], "item_id long, text string")
     model = quality.fit(d, spark.createDataFrame([], "doc_id long, quality int"))
-    for df in (bpe.round_trip(d), fmindex.search(d, items), jaccard.join(d), licences.scan(d), lm.score(d), pii.replaced(d), quality.scored(d, model), shards.shard(d), wavelet.read(wavelet.write(d)), topk.search(e)):
+    for df in (bpe.round_trip(d), fmindex.search(d, items), jaccard.join(d), licences.scan(d), lm.score(d), pii.replaced(d, b"k"), quality.scored(d, model), shards.shard(d), wavelet.read(wavelet.write(d)), topk.search(e)):
         assert df.collect() == []
 
 
@@ -64,6 +64,11 @@ def test_topk_ties_and_odd_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 50, 65536), (50, 1, 0, 65536), (50, 2, 1, 65536), (50, 3, 2, 65536)]
 
 
+def test_topk_too_large(spark):
+    with pytest.raises(Exception, match="too large"):
+        topk.search(spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -112,7 +117,7 @@ def test_removal(spark, odd):
 def test_surrogates(spark, odd):
     text = "Dr Anna Smith, Ms. Smith; Frau Anna Müller; +1 (386) 555-3733; 1.2.3.4; A.b@X.com, a.b@x.com; password=e3b3ed3cc8548923d6; 4111 1111 1111 1111"
     df = odd.unionAll(spark.createDataFrame([(20, text, "n", 1), (21, text, "n", 1)], odd.schema))
-    got = {r.doc_id: r for r in pii.replaced(df).collect()}
+    got = {r.doc_id: r for r in pii.replaced(df, b"k").collect()}
     assert got[20].text == got[21].text and got[0].text is None and got[7].text == "same text" and len(got) == 13
     for found in ("Smith", "Müller", "555-3733", "1.2.3.4", "b@", "e3b3ed3cc8548923d6", "1111 1111"):
         assert found not in got[20].text
@@ -122,7 +127,10 @@ def test_surrogates(spark, odd):
     assert len({pii.permuted(i, 1000, b"k", "t") for i in range(1000)}) == 1000
 
 
-@pytest.mark.parametrize("key", [pii.KEY, b"another key"])
+KEY = b"key of the tests"
+
+
+@pytest.mark.parametrize("key", [KEY, b"another key"])
 def test_given_names_all_change(key):
     for g, names in pii.GIVEN.items():
         new = [pii.step(f"given-{g}", x, key) for x in names]
@@ -131,13 +139,13 @@ def test_given_names_all_change(key):
 
 def test_used_up_formats_get_longer_surrogates(spark, monkeypatch):
     monkeypatch.setattr(pii, "MOST_STEPS", 3)
-    names = [*"abcdefghijklmnopqrstuvwxyz", "ß", pii.step("name", pii.longer("name", "a", 1)), pii.longer("name", "b", 1)]
+    names = [*"abcdefghijklmnopqrstuvwxyz", "ß", pii.step("name", pii.longer("name", "a", 1), KEY), pii.longer("name", "b", 1)]
     rows = [("name", x) for x in names] + [("secret", x) for x in ("******", "######")]
-    got = [(r.kind, r.entity, r.surrogate) for r in pii.surrogates(spark.createDataFrame(rows, "kind string, entity string")).collect()]
+    got = [(r.kind, r.entity, r.surrogate) for r in pii.surrogates(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()]
     assert sorted((k, e) for k, e, _ in got) == sorted(rows) and len({(k, s) for k, _, s in got}) == len(got)
     assert not {(k, s) for k, _, s in got} & set(rows) and all(s.isalpha() for _, _, s in got)
     for kind, e in (("email", "a@x.com"), ("phone", "5553733"), ("ssn", "123456789"), ("card", "4111111111111111"), ("ip", "1.2.3.4"), ("iban", "DE12"), ("awskey", "AKIA0"), ("name", "田")):
-        new = [pii.step(kind, pii.longer(kind, e, k)) for k in range(1, 9)]
+        new = [pii.step(kind, pii.longer(kind, e, k), KEY) for k in range(1, 9)]
         assert len({*new, e}) == 9 and all(len(x) > len(e) for x in new)
 
 
@@ -149,7 +157,7 @@ def test_names_are_one_person_throughout(spark):
     assert spans[2] == [("J", "j"), ("Smith", "smith"), ("J", "j"), ("Smith", "smith"), ("Smith", "smith"), ("J", "j"), ("R", "r"), ("Weber", "weber")]
     assert spans[3] == [("A", "a")]
     assert {k for t in texts for _, _, k, e in pii.detect(t) if e == "anna"} == {"given-f"} and not set(pii.GIVEN["m"]) & set(pii.GIVEN["f"])
-    got = [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
     assert not any(x in t for t in got for x in ("Anna", "Smith", "SMITH", "Weber")) and "J is a letter" in got[2] and "smith stayed" in got[0] and got[3].endswith("The end. A man.")
     assert got[0].split()[1] == got[1].split()[1] == got[1].split()[4]
 
@@ -404,9 +412,85 @@ def test_full_licence_texts(spark):
     assert [got[k] for k in range(len(known) + 2)] == [i for i, _ in known + files]
 
 
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline as c
+    import tiktoken
+
+    spark.conf.set("textloom.pii.key", "key of the tests")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    passages = {tuple(w[k : k + min(10, len(w))]) for w in map(alnum_words, items) for k in range(max(1, len(w) - 9)) if w}
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    before, out = {r.doc_id: r.text for r in docs.collect()}, docs
+    texts = []
+    for _, stage in c.STAGES:
+        out = stage(spark, out, SF)
+        texts.append({r.doc_id: getattr(r, "text", None) for r in out.collect()})
+    # 1: rows whose plain sum of table entries is at least the threshold
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = {}
+    for i, t in before.items():
+        x = quality.features(t)
+        z = model.intercept + sum(v[sum(e <= x[j] for e in model.edges[j])] for j, v in enumerate(model.tables))
+        z += sum(v[sum(e <= x[a] for e in model.coarse[a]), sum(e <= x[b] for e in model.coarse[b])] for a, b, v in model.pairs)
+        if 1 / (1 + math.exp(-z)) >= quality.THRESHOLD:
+            kept[i] = t
+    assert texts[0] == kept and 0 < len(kept) < len(before)
+    # 2: all pairs of five-word shingle sets
+    ids = sorted(kept)
+    sets = [set(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or ({tuple(w)} if w else set()) for w in (plain_words(kept[i]) for i in ids)]
+    first = {i for i, (_, root) in components(ids, sets, 80).items() if i == root}
+    assert texts[1] == {i: kept[i] for i in first} and len(first) < len(kept)
+    # 3: no passage is left, and what is left stood there in this order
+    changed = 0
+    for i, t in texts[2].items():
+        w, old = alnum_words(t), alnum_words(texts[1][i])
+        assert not any(tuple(w[k : k + n]) in passages for n in {len(p) for p in passages} for k in range(len(w) - n + 1))
+        it = iter(old)
+        assert all(x in it for x in w)
+        hit = any(tuple(old[k : k + n]) in passages for n in {len(p) for p in passages} for k in range(len(old) - n + 1))
+        assert hit or t == texts[1][i]
+        changed += hit
+    assert changed and set(texts[2]) == first
+    # 4: all but the entities is as it was; one entity has one surrogate, two have two
+    map_ = {}
+    for i, t in texts[3].items():
+        old, at, new_at = texts[2][i], 0, 0
+        for a, b, kind, e in pii.detect(old):
+            assert t[new_at : new_at + a - at] == old[at:a]
+            new_at += a - at
+            rest = old[b:]
+            length = len(t) - new_at - len(rest) if (a, b, kind, e) == pii.detect(old)[-1] else b - a
+            map_.setdefault((kind, e), set()).add(t[new_at : new_at + length].lower())
+            at, new_at = b, new_at + length
+        assert t[new_at:] == old[at:]
+    assert map_ and all(e not in {x for x in s if len(x) > 1} for (_, e), s in map_.items())
+    single = {k: next(iter(s)) for k, s in map_.items() if len(s) == 1}
+    for kind in {k for k, _ in single}:
+        own = [v for (k, _), v in single.items() if k == kind]
+        assert len(own) == len(set(own))
+    # 5: the library's ids of the final texts
+    final = {r.doc_id: (r.ids, r.decoded_sha256) for r in out.collect()}
+    assert final == {i: (enc.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts[3].items()}
+    assert {r.doc_id: (r.ids, r.decoded_sha256) for r in c.run(spark, SF).collect()} == final
+
+
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline as c
+
+    d = str(tmp_path)
+    odd.selectExpr("doc_id", "text", "'en' AS lang", "CAST(NULL AS STRING) AS source", "CAST(length(text) AS LONG) AS n_chars", "n_tokens", "slot").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = c.run(spark, d).collect()  # nothing is labelled, so all scores are 0.5
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [None, 0, 1, 2, 3, 4, 5, 6, 7, 7, 9]))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
+    spark.conf.set("textloom.pii.key", "key of the tests")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k, (_, stage) in enumerate(c.STAGES):
         out = stage(spark, docs, SF)

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.files import spread
+
 #: A-Z to a-z, byte by byte; all else stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words are runs of ASCII digits, ASCII letters and all bytes of non-ASCII characters; the rest turns into blanks.
@@ -157,7 +159,7 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_file(name: str) -> str:

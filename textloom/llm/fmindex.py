@@ -27,7 +27,7 @@ from textloom.llm.common import alnum_words, slices, table, texts, tidied
 WINDOW, SHARD_WORDS = 10, 1_000_000
 #: Every so many text positions, the suffix array is kept.
 SAMPLE = 16
-#: Phrase sets beyond this many bytes go through in several passes.
+#: Phrase sets beyond this many bytes aren't broadcast: search() raises, and the caller searches ranges of items one after another.
 PHRASE_BYTES = 64 << 20
 
 

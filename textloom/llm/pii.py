@@ -11,7 +11,7 @@ A surrogate that is itself an entity of the corpus, or that another entity has,
 another keyed permutation, so distinct entities have distinct surrogates. One that finds none in MOST_STEPS, as its format is used
 up, gets a longer string of the same script.
 
-Null texts stay null, texts without entities stay as they are. Repeated rows are replaced each. Ids may be null or repeated: a
+The caller gives the key: who has it can turn surrogates back. Null texts stay null, texts without entities stay as they are. Repeated rows are replaced each. Ids may be null or repeated: a
 document is known by its id and its text. Nothing is collected: entities are checked against each other by joins.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import slices, table, tidied, written
 
-KEY, MOST_STEPS = b"textloom surrogate key: give your own", 40
+MOST_STEPS = 40
 
 #: Titles before names, and given names by gender.
 TITLES = {"mr": "m", "herr": "m", "señor": "m", "monsieur": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "señora": "f", "señorita": "f", "madame": "f", "mme": "f", "mlle": "f", "sra": "f", "dr": "", "prof": ""}
@@ -176,7 +177,7 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def step(kind: str, e: str, key: bytes = KEY) -> str:
+def step(kind: str, e: str, key: bytes) -> str:
     """The permutation of a type's entities."""
     if kind == "email":
         local, _, domain = e.partition("@")
@@ -246,7 +247,7 @@ SPANS = "array<struct<first: int, last: int, kind: string, entity: string>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("kind", pa.string()), ("entity", pa.string())]))
 
 
-def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, surrogate for distinct (kind, entity) rows; no surrogate is an entity or another's surrogate."""
     walking, done = written(entities, "pii-entities"), None
     taken = walking.select(F.col("kind").alias("k"), F.col("entity").alias("e")).where("NOT startswith(k, 'given-')")
@@ -277,7 +278,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         taken = taken.unionAll(free.select("kind", "surrogate"))
 
 
-def replaced(df: DataFrame, key: bytes = KEY, id: str = "doc_id", text: str = "text") -> DataFrame:
+def replaced(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """All columns of all rows, entities replaced, with `entities`: first and last character in the new text, and kind."""
     where, columns = df.columns.index(text), df.columns
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -322,6 +323,12 @@ def replaced(df: DataFrame, key: bytes = KEY, id: str = "doc_id", text: str = "t
     return both.select(*[F.col("doc").getField(c).alias(c) for c in columns], F.col("entities").alias("pii_entities"))
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in textloom.pii.key of the session; a new random one where it is unset, so that nobody can turn surrogates back."""
+    own = spark.conf.get("textloom.pii.key", None)
+    return own.encode() if own else secrets.token_bytes(32)
+
+
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replaced(docs).select("doc_id", "text", F.size("pii_entities").alias("n_entities"), F.col("pii_entities").alias("entities"))
+    return replaced(docs, session_key(spark)).select("doc_id", "text", F.size("pii_entities").alias("n_entities"), F.col("pii_entities").alias("entities"))

@@ -4,7 +4,7 @@ Rows are packed into candidate shards of up to TILE vectors, queries into blocks
 in one matrix product; a partial selection keeps the k best of each query in the tile; lists are merged in a tree, FAN lists at
 a time, until one is left. The queries are a stated subset (vec_id divisible by `every`), in blocks.
 
-Components are taken as floor(scale * x) with x as double, products are exact integers (a score beyond 64 bits raises).
+Components are taken as floor(scale * x) with x as double, products are exact integers (a component or score beyond 64 bits raises).
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id; vectors of another
 length than the query's don't meet it. Empty vectors score 0. Repeated ids: a query meets no candidate of its own id; repeated
 query rows are one query by their least vector; repeated candidate rows each count, as rows. Ties go to the smaller id. A query with fewer than k candidates
@@ -73,9 +73,10 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[n
 def search(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score."""
     x = F.col("e").cast("array<double>")
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float(1 << 62) / scale)))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & fine)
-    rows = rows.select("vec_id", F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
+    whole = lambda c: F.when(F.abs(c) < F.lit(float(1 << 62) / scale), F.floor(c * F.lit(float(scale)))).otherwise(F.raise_error(F.lit("a component is too large for 64-bit scores")).cast("long"))
+    rows = rows.select("vec_id", F.transform(x, whole).alias("v"))
     packed = "dim int, n int, ids binary, data binary"
     shards = written(rows.mapInArrow(_pack, packed), "topk-shards").withColumn("shard", F.monotonically_increasing_id())
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
