@@ -35,7 +35,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities have surrogates."""
-    return _measured(pii.replaced(docs).select(*docs.columns))
+    return _measured(pii.replaced(docs, pii.session_key(spark)).select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("PII", replace_personal_data),
     ("byte-level BPE", encode),
 ]
-#: SQL can't express the stages; tests/llm hold run() against a brute-force version.
+#: SQL can't express the stages; test_pipeline_by_brute_force holds them against plain Python versions.
 ORACLE_SQL = None
 
 
