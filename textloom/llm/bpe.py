@@ -24,9 +24,9 @@ from textloom.llm.common import SPACED, slices, table, texts, tidied, tokenizer_
 #: Entries that the two word caches of a Python worker hold; a full cache starts anew.
 CACHE_WORDS = 150_000
 #: Words and bytes that one recursive query contracts.
-QUERY_WORDS, QUERY_BYTES = 40_000, 500_000
+QUERY_WORDS, QUERY_BYTES = 30_000, 300_000
 #: Ids that one decoding query takes.
-DECODE_IDS = 250_000
+DECODE_IDS = 120_000
 #: Words of up to so many bytes are contracted one pair a round.
 SHORT = 48
 
@@ -289,7 +289,7 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks.value, pattern)
-        for b in slices(batches, "text", 3 << 20):
+        for b in slices(batches, "text", 2 << 20):
             ids = engine.encode(b.column("text").to_pylist())
             back = engine.decode(ids)
             columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]

@@ -44,7 +44,7 @@ TILE, TILE_SHINGLES, HUBS, FANOUT, BITS = 256, 1 << 20, 4, 8, 1 << 16
 #: Groups for each shingle, and one more, in which linked sets may differ.
 SPARE = 1.5
 #: Sets of a key that meet pair by pair; route keys that a task looks through at a time; salts of joins by block.
-LIST, SOME_KEYS, SALTS = 12, 2_000_000, 16
+LIST, SOME_KEYS, SALTS = 12, 600_000, 16
 #: Documents of the sample, in how many of them a shingle is common, and how many shingles are kept as common.
 SAMPLE, COMMON_IN, MOST_COMMON = 4000, 3, 200_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -201,7 +201,7 @@ def _sets(n: int, percent: int, common) -> Callable:
             ids = np.array([digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             for s, x in zip(sets, ids[:, 0].tolist(), strict=True):
                 new = len(s) > 0 and x not in seen
-                if new and len(seen) < 1_000_000:
+                if new and len(seen) < 200_000:
                     seen.add(x)
                 routes.append(np.concatenate(router.keys(s)) if new else np.zeros(0, dtype=np.uint64))
                 many += len(routes[-1])
