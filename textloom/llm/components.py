@@ -1,8 +1,7 @@
 """Connected components of a graph by alternating large-star and small-star rounds, each written to the shared folder.
 
 Edges with a null end are ignored, as are loops and repeated edges; without edges there are no rows. No neighbourhood is gathered:
-least neighbours are aggregates with partial sums, joined back to the edges. Nodes with more than a share of all edges (HUBS of
-them at most, by that bound) are joined by broadcast, so that no task gets a hub's edges.
+least neighbours are aggregates with partial sums, joined back to the edges. The edges of one node meet in one task of that join.
 """
 
 from __future__ import annotations
@@ -12,17 +11,6 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import forget, written
 
-#: Most nodes that count as hubs, and edges that a node has at least to be one.
-HUBS, HUB_EDGES = 50_000, 200
-
-
-def _with_least(rows: DataFrame, least: DataFrame, key: str, n_edges: int) -> DataFrame:
-    """rows joined with least (key, m, n) on the key. Of nodes with more than n_edges / HUBS edges there are HUBS at most."""
-    many = max(HUB_EDGES, n_edges // HUBS)
-    hubs = F.broadcast(least.where(F.col("n") > many).select(key, "m"))
-    others = rows.join(hubs.select(key), key, "left_anti").join(least.where(F.col("n") <= many).select(key, "m"), key)
-    return rows.join(hubs, key).unionByName(others)
-
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node but the smallest of its component, from edges (a long, b long) in any direction."""
@@ -37,11 +25,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select("b", "a"))
-        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), name)
-        large = _with_least(e.select(F.col("b").alias("u"), F.col("a").alias("v")), least, "u", 2 * state[0])
-        large = written(large.select(F.col("v").alias("a"), F.col("m").alias("b")), name)
-        forget(least, e)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
-        small = _with_least(large, least, "a", state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = e.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = written(large, name)
+        forget(e)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = tidy(small.unionAll(least.select("a", F.col("m").alias("b"))))
-        forget(least, large)
+        forget(large)
