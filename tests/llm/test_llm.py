@@ -193,6 +193,37 @@ def test_jaccard_odd_rows(spark, odd):
     assert len(got) == odd.count() and {(r.n_shingles, r.component_id) for r in got if r.doc_id in (7, 8)} == {(1, 7)}
 
 
+def test_jaccard_near_pairs():
+    rnd = random.Random(3)
+    sets = [[rnd.getrandbits(64) for _ in range(rnd.choice([1, 5, 60, 70, 130, 140, 300]))] for _ in range(40)]
+    for s in sets[:]:
+        sets += [[x if rnd.random() > rate else rnd.getrandbits(64) for x in s] for rate in (0.02, 0.1, 0.3)]
+    sets = sorted((np.unique(np.array(s, dtype=np.uint64)) for s in sets), key=len)
+    labels, sizes = np.arange(len(sets)) // 2, np.array([len(s) for s in sets])
+    for percent in (80, 40):
+        found = {(i, j) for a, b in jaccard.near_pairs(sizes, [jaccard.parity(s) for s in sets], labels, percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j) if labels[i] != labels[j]}
+        linked = {(i, j) for (i, j), n in both.items() if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)}
+        assert linked and linked <= found and (percent < 80 or len(found) < len(both) // 4) and all(labels[i] != labels[j] for i, j in found)
+
+
+def test_jaccard_sends_few_texts_of_large_blocks(spark, monkeypatch):
+    """A block of many sets that meet and mostly don't link: texts must not go to all tiles of their block."""
+    rnd, tables = random.Random(4), {}
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    line = " ".join(word() for _ in range(20))
+    texts = [f"{word()} {word()} {word()} {word()} {line}" for _ in range(240)]
+    texts += [t.replace(line, f"{line} end") for t in texts[:20]]
+    written_ = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name, *by: tables.setdefault(name, written_(df, name, *by)))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(plain_words, texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85, 8).collect()}
+    assert got == components(list(range(len(texts))), sets, 85) and len({c for _, c in got.values()}) == 240
+    assert tables["jaccard-placed"].where("tiles > 20").count() > 200  # one block
+    assert tables["jaccard-near"].count() < 3 * len(texts)
+
+
 def test_lm_base(spark, docs):
     words = {i: [*plain_words(t), None] for i, t in zip(docs.doc_id, docs.text, strict=True)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}

@@ -15,8 +15,9 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of
    children with ranges of sizes. Dual traversal of the tree with itself drops node pairs whose greatest possible overlap is too
    small for their sizes; what is left at the leaves is compared exactly unless already connected. A tile is bounded in sets and
    in shingles; of a set longer than the bitmaps the bound is weaker, never wrong.
-5. Blocks beyond one tile: every tile is first joined with itself and a few common sets of the block; then the sets outside
-   the block's largest component meet all other tiles, so that no link between components is missed.
+5. Blocks beyond one tile: every tile is first joined with itself and a few common sets of the block. Then the sets outside
+   the block's largest component meet all others as parity bitmaps, in which linked sets differ in no more bits than the sets in
+   shingles. Texts go only to tiles where two sets of different components may still link, so that no link is missed.
 
 Null texts, and texts without words, have the empty set: size 0, linked with nothing. Fewer words than a shingle make the whole
 sequence one shingle. Equal texts link by their equal sets. Repeated rows each get a row; a component's id is its smallest
@@ -41,6 +42,8 @@ from textloom.llm.components import components
 
 #: Sets and shingles in a tile, common sets that every tile of a block gets, children of a tree node, most bits of a set's bitmap.
 TILE, TILE_SHINGLES, HUBS, FANOUT, BITS = 256, 1 << 20, 4, 8, 1 << 16
+#: Parity bitmaps in a tile, for each set in a tile of texts; their most bits.
+WIDE, PARITY_BITS = 8, 1 << 14
 #: Groups for each shingle, and one more, in which linked sets may differ.
 SPARE = 1.5
 #: Sets of a key that meet pair by pair; route keys that a task looks through at a time; salts of joins by block.
@@ -372,6 +375,78 @@ def _join_units(n: int, percent: int) -> Callable:
     return tidied(run)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of at least as many bits as shingles (up to PARITY_BITS): a bit tells whether an odd number of shingles share it."""
+    bits = min(PARITY_BITS, 1 << max(6, (len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _parities(n: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 2 << 20):
+            sets = shingle_sets(b.column("text"), n)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], names=["node", "n", "bits"])
+
+    return tidied(run)
+
+
+def near_pairs(sizes: np.ndarray, bits: list[bytes], labels: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of sets in ascending order of size: pairs of places a < b of different labels that may link. A pair is compared in the bits
+    of its smaller bitmap; a longer one is folded to it."""
+    widths, far = np.array([len(x) for x in bits]), np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)  # neighbours, as bitmaps grow with the sets
+        low, high = int(own[0]), int(far[own[-1]])
+        maps = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, width // 8), axis=0) for x in bits[low:high]])
+        start = low
+        while start <= own[-1]:
+            stop = min(int(own[-1]) + 1, start + max(1, (8 << 20) // ((high - start) * (width + 32))))
+            end = int(far[stop - 1])
+            apart = np.bitwise_count(maps[start - low : stop - low, None] ^ maps[None, start - low : end - low]).sum(axis=2, dtype=np.int64)
+            both = sizes[start:stop, None] + sizes[None, start:end]
+            fine = ((100 + percent) * apart <= (100 - percent) * both) & (labels[start:stop, None] != labels[None, start:end])
+            fine &= (np.arange(start, end) > np.arange(start, stop)[:, None]) & (np.arange(start, end) < far[start:stop, None])
+            a, b = np.nonzero(fine)
+            if len(a):
+                yield a + start, b + start
+            start = stop
+
+
+def _near_units(percent: int, tile: int) -> Callable:
+    """From rows (unit, node, label, n, bits) sorted by unit: smaller units of only those sets that may link."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            rows.sort(key=lambda r: (r[2], r[0]))
+            nodes, labels, sizes = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+            part = np.maximum(np.arange(len(rows)) // tile, (np.cumsum(sizes) - sizes) // TILE_SHINGLES)
+            count = int(part[-1]) + 1
+            needed = [np.zeros(0, dtype=np.int64)]
+            for a, b in near_pairs(sizes, [r[3] for r in rows], labels, percent):
+                own = (part[a] * count + part[b]) * len(rows)
+                needed = [np.unique(np.concatenate([*needed, own + a, own + b]))]
+            at, row = np.divmod(needed[0], len(rows))
+            seed = np.array([unit], dtype=np.int64).view(np.uint64)
+            units = mix((seed ^ mix(at.astype(np.uint64) * M1 + M2)) * M1).view(np.int64)
+            for k in range(0, len(at), 100_000):
+                cut = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(units[cut]), pa.array(nodes[row[cut]]), pa.array(labels[row[cut]])], names=["unit", "node", "label"])
+
+        for batch in batches:
+            for u, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "label", "n", "bits")), strict=True):
+                if u != unit:
+                    yield from flush()
+                    unit, rows = u, []
+                rows.append(tuple(row))
+        yield from flush()
+
+    return tidied(run)
+
+
 def _same(n: int) -> Callable:
     """Rows whose text has the set they stand for."""
 
@@ -426,7 +501,13 @@ def join(df: DataFrame, words: int = 4, percent: int = 85, tile: int = TILE, key
     released(spark)
     large = placed.where("tiles > 1")
     if not large.isEmpty():
-        found = found.unionAll(links(_rest(large, components(found, "jaccard-first"), tile), "jaccard-rest"))
+        # all that may link is found from bitmaps, so that texts aren't sent to all tiles of their block
+        bits = written(held.mapInArrow(_parities(words), "node long, n long, bits binary"), "jaccard-parities")
+        rest = _rest(large, components(found, "jaccard-first")).join(bits, "node").select("unit", "node", "label", "n", "bits")
+        rest = rest.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_near_units(percent, tile), "unit long, node long, label long")
+        rest = written(rest, "jaccard-near")
+        released(spark)
+        found = found.unionAll(links(rest, "jaccard-rest"))
     roots = components(found, "jaccard-components")
     forget(held)
     root_of = classes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("sid", "check", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -453,13 +534,13 @@ def _hubs(placed: DataFrame) -> DataFrame:
     return least.select("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "node")
 
 
-def _rest(large: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
-    """Units of the second round: sets outside a block's largest component, with all others of the block. Tiles keep the block's
-    mean number of sets in a tile, which follows their shingles."""
+def _rest(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Units of the second round: sets outside a block's largest component, with all others of the block. Tiles have WIDE times
+    the block's mean number of sets in a tile, which follows their shingles."""
     labelled = large.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("block", "tiles", "node", F.coalesce("root", "node").alias("root"))
     counts = labelled.groupBy("block", "root").agg(F.count("*").alias("n"), F.first("tiles").alias("tiles"))
     most = counts.groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.first("tiles").alias("tiles"))
-    count = lambda c: F.ceil(c * F.col("tiles") / F.col("all")).cast("int")
+    count = lambda c: F.ceil(c * F.col("tiles") / F.col("all") / WIDE).cast("int")
     totals = most.where(F.col("all") > F.col("top.n")).select("block", F.col("top.root").alias("main"), count(F.col("all") - F.col("top.n")).alias("tr"), count(F.col("top.n")).alias("ts"))
     rows = _by_block(labelled.drop("tiles"), totals).withColumn("in_main", F.col("root") == F.col("main")).withColumn("label", F.xxhash64("root").bitwiseAND(F.lit((1 << 62) - 1)))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("ts")).otherwise(F.col("tr"))).cast("int"))
