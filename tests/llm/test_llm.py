@@ -193,6 +193,14 @@ def test_jaccard_odd_rows(spark, odd):
     assert len(got) == odd.count() and {(r.n_shingles, r.component_id) for r in got if r.doc_id in (7, 8)} == {(1, 7)}
 
 
+def test_bpe_limits(spark, docs):
+    """Results don't depend on what a worker holds; the query alone has more room than the pipeline's stage."""
+    df = spark.createDataFrame(docs[["doc_id", "text"]].head(60))
+    tiny = bpe.Limits(50, 40, 300, 200, 1000)
+    rows = [sorted(map(tuple, bpe.round_trip(df, limits=limits).collect())) for limits in (tiny, bpe.SMALL, bpe.LARGE)]
+    assert len(rows[0]) == 60 and rows[0] == rows[1] == rows[2] and bpe.LARGE.cache_words > bpe.SMALL.cache_words
+
+
 def test_jaccard_near_pairs():
     rnd = random.Random(3)
     sets = [[rnd.getrandbits(64) for _ in range(rnd.choice([1, 5, 60, 70, 130, 140, 300]))] for _ in range(40)]

@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import SPACED, slices, table, texts, tidied, tokenizer_file
 
-#: Entries that the two word caches of a Python worker hold; a full cache starts anew.
-CACHE_WORDS = 150_000
-#: Words and bytes that one recursive query contracts.
-QUERY_WORDS, QUERY_BYTES = 30_000, 300_000
-#: Ids that one decoding query takes.
-DECODE_IDS = 120_000
+
+
+class Limits(NamedTuple):
+    """What one Python worker holds at a time; results don't depend on it."""
+
+    #: Entries of each word cache; a full cache starts anew.
+    cache_words: int
+    #: Words and bytes that one recursive query contracts.
+    query_words: int
+    query_bytes: int
+    #: Ids that one decoding query takes.
+    decode_ids: int
+    #: Text of a slice.
+    slice_bytes: int
+
+
+#: For executors that other operators share; about 180 MB a worker more, for a fifth less time.
+SMALL, LARGE = Limits(150_000, 30_000, 300_000, 120_000, 2 << 20), Limits(600_000, 40_000, 500_000, 250_000, 6 << 20)
 #: Words of up to so many bytes are contracted one pair a round.
 SHORT = 48
 
@@ -104,9 +117,10 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Engine:
     """The DuckDB database of one Python worker, with the merge table and the vocabulary."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, limits: Limits = SMALL):
         import regex
 
+        self.limits = limits
         self.ranks = read_ranks(rank_file)
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has a token for every byte")
@@ -157,7 +171,7 @@ class Engine:
         start = 0
         while start < len(raw):
             stop, size = start, 0
-            while stop < len(raw) and (stop == start or stop - start < QUERY_WORDS and size + len(raw[stop]) <= QUERY_BYTES):
+            while stop < len(raw) and (stop == start or stop - start < self.limits.query_words and size + len(raw[stop]) <= self.limits.query_bytes):
                 size += len(raw[stop])
                 stop += 1
             lengths = [len(w) for w in raw[start:stop]]
@@ -191,7 +205,7 @@ class Engine:
         A blank before a character that is no white space always starts a word, so text is parted there and each part is
         split by the pattern once; a text with a blank before white space, or at its end, is split whole.
         """
-        if max(len(self.words), len(self.first), len(self.later)) > CACHE_WORDS:
+        if max(len(self.words), len(self.first), len(self.later)) > self.limits.cache_words:
             self.forget()
         parted = [None if t is None else [t] if SPACED.search(t) else t.split(" ") for t in docs]
         firsts, laters = set(), set()
@@ -209,12 +223,12 @@ class Engine:
         return [b"" if p is None else self.first[p[0]] + b"".join(map(later, p[1:])) for p in parted]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes that each row of ids stands for, by queries over rows of about DECODE_IDS ids together (one row at least)."""
+        """The bytes that each row of ids stands for, by queries over rows of about `decode_ids` ids together (one row at least)."""
         out = [b""] * len(ids)
         stop = 0
         while (start := stop) < len(ids):
             size = 0
-            while stop < len(ids) and (stop == start or size + len(ids[stop]) // 4 <= DECODE_IDS):
+            while stop < len(ids) and (stop == start or size + len(ids[stop]) // 4 <= self.limits.decode_ids):
                 size += len(ids[stop]) // 4
                 stop += 1
             flat = np.frombuffer(b"".join(ids[start:stop]), dtype="<u4").astype(np.int32)
@@ -229,8 +243,8 @@ class Engine:
 
 
 @lru_cache(maxsize=2)
-def _engine(rank_file: bytes, pattern: str) -> Engine:
-    return Engine(rank_file, pattern)
+def _engine(rank_file: bytes, pattern: str, limits: Limits = SMALL) -> Engine:
+    return Engine(rank_file, pattern, limits)
 
 
 def _pattern(pattern: str | None) -> str:
@@ -282,22 +296,22 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str
     return df.selectExpr(f"CAST(`{key}` AS LONG) AS doc_id", f"CAST(`{ids}` AS ARRAY<INT>) AS ids").mapInArrow(tidied(run, lambda: _engine(ranks.value, _pattern(None)).close()), "doc_id long, bytes binary")
 
 
-def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False, key: str = "doc_id", text: str = "text", limits: Limits = SMALL) -> DataFrame:
     """Encode each text, decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
     ranks, pattern = _rank_file(df.sparkSession, path), _pattern(pattern)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = _engine(ranks.value, pattern)
-        for b in slices(batches, "text", 2 << 20):
+        engine = _engine(ranks.value, pattern, limits)
+        for b in slices(batches, "text", limits.slice_bytes):
             ids = engine.encode(b.column("text").to_pylist())
             back = engine.decode(ids)
             columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
             columns += [pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for v in (ids, back)]
             yield pa.RecordBatch.from_arrays(columns + [_column(ids)] * with_ids, names=names)
 
-    return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern).close()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern, limits).close()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents"), limits=LARGE)
