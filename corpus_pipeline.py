@@ -10,18 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, fmindex, jaccard, pii, quality
-from textloom.llm.common import table, written
-
-
-#: Rows that a Python worker is given at a time: texts are long, and stages share the executors' memory.
-BATCH_ROWS = 2000
-
-
-def _bounded(spark: SparkSession) -> None:
-    """Batches of texts stay small, unless the session asks for smaller ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+from textloom.llm.common import bounded, table, written
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -31,31 +20,31 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels outside fold 0, doesn't reject."""
-    _bounded(spark)
+    bounded(spark)
     return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each component; links at a Jaccard similarity of 0.8 of five-word shingles."""
-    _bounded(spark)
+    bounded(spark)
     return jaccard.representatives(docs, words=5, percent=80)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of `benchmark` are cut out of the texts."""
-    _bounded(spark)
+    bounded(spark)
     return _measured(fmindex.removed(docs, table(spark, sf_dir, "benchmark")))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities have surrogates."""
-    _bounded(spark)
+    bounded(spark)
     return _measured(pii.replaced(docs, pii.session_key(spark)).select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    _bounded(spark)
+    bounded(spark)
     return bpe.round_trip(docs, with_ids=True)
 
 

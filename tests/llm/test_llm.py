@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pyarrow.dataset as ds
 import pytest
 
-from textloom.llm import bpe, fmindex, jaccard, licences, lm, pii, quality, shards, topk, wavelet
+from textloom.llm import bpe, common, fmindex, jaccard, licences, lm, pii, quality, shards, topk, wavelet
 from textloom.llm.common import alnum_words, plain_words
 from textloom.llm.queries import QUERIES, SQL
 
@@ -232,6 +232,21 @@ def test_jaccard_sends_few_texts_of_large_blocks(spark, monkeypatch):
     assert tables["jaccard-near"].count() < 3 * len(texts)
 
 
+def test_lm_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, then in (("10000", 2000), ("0", 2000), ("500", 500)):
+            spark.conf.set(name, given)
+            common.bounded(spark)
+            assert int(spark.conf.get(name)) == then
+        spark.conf.set(name, "10000")
+        assert lm.score(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")).count() == 2
+        assert int(spark.conf.get(name)) == 2000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lm_base(spark, docs):
     words = {i: [*plain_words(t), None] for i, t in zip(docs.doc_id, docs.text, strict=True)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
