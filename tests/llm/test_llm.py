@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -201,6 +203,27 @@ def test_bpe_limits(spark, docs):
     assert len(rows[0]) == 60 and rows[0] == rows[1] == rows[2] and bpe.LARGE.cache_words > bpe.SMALL.cache_words
 
 
+PEAK = """
+import random, re, public_tokenizers as P
+from textloom.llm import bpe
+read = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+rnd = random.Random(5)
+texts = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(300)) for _ in range(600)]
+engine = bpe.Engine(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN, bpe.SMALL)
+engine.con
+before, size = read(), bpe.SMALL.slice_bytes // 3000
+for s in range(0, len(texts), size):
+    engine.decode(engine.encode(texts[s : s + size]))
+print(read() - before)
+"""
+
+
+def test_bpe_worker_in_the_pipeline_is_small():
+    """A worker of the pipeline's last stage, on 180,000 distinct words: executors have little room left there."""
+    got = subprocess.run([sys.executable, "-c", PEAK], capture_output=True, text=True, check=True)
+    assert float(got.stdout) < 110
+
+
 def test_jaccard_near_pairs():
     rnd = random.Random(3)
     sets = [[rnd.getrandbits(64) for _ in range(rnd.choice([1, 5, 60, 70, 130, 140, 300]))] for _ in range(40)]
