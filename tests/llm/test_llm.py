@@ -7,6 +7,7 @@ import random
 import subprocess
 import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -270,6 +271,17 @@ def test_lm_batches_are_bounded(spark):
         spark.conf.set(name, before)
 
 
+def test_lm_keeps_no_texts_and_sends_rare_words_once(spark, monkeypatch):
+    """When the last shuffles run, the table of texts and ids is gone; a text's rare word is one row, whatever its number there."""
+    tables, written_ = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name, *by: tables.setdefault(name, written_(df, name, *by)))
+    got = lm.score(spark.createDataFrame([(1, "one two TWO Two"), (2, "two " * 50), (3, None)], "doc_id long, text string"), most_head=0)
+    assert not Path(tables["lm-ids"].written_to.removeprefix("file:")).exists() and Path(tables["lm-rows"].written_to.removeprefix("file:")).exists()
+    assert sorted(len(r.rare) for r in tables["lm-rows"].collect()) == [1, 2, 3]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(word") <= 2
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in got.collect()} == {d: (n, n, 56) for d, n in ((1, 5), (2, 51), (3, 1))}
+
+
 def test_lm_base(spark, docs):
     words = {i: [*plain_words(t), None] for i, t in zip(docs.doc_id, docs.text, strict=True)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}

@@ -268,19 +268,19 @@ class Encoder:
             got = [self.words[w] if k is None else k for w, k in zip(distinct, got, strict=True)]
         return np.array(got, dtype=np.int64)[coded.indices.to_numpy()]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's ids end."""
+    def encode(self, column: pa.Array, coded: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids end. coded: coded_words() of the column with capitals, if known."""
         if self.whole:
             each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return np.concatenate([np.zeros(0, dtype=np.uint32), *each]), np.cumsum([len(x) for x in each], dtype=np.int64)
-        ids, n, ends = self.by_word(column)
+        ids, n, ends = self.by_word(column, coded)
         return ids, np.append(0, np.cumsum(n))[ends]
 
-    def by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def by_word(self, column: pa.Array, coded: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, the number of ids of each word of plain_words(), and where each text's words end."""
         if len(self.words) > CACHE:
             self.forget()
-        codes, ends, distinct = coded_words(column, lower=False)
+        codes, ends, distinct = coded or coded_words(column, lower=False)
         if not len(codes):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), ends
         parts = distinct.cast(pa.string())
