@@ -589,3 +589,26 @@ def test_pipeline(spark):
     assert final == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in before.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in c.run(spark, SF).collect()} == final
     assert fmindex.search(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").isEmpty()
+
+
+def test_bpe_decodes_each_distinct_run_once():
+    """Repeated words cost no rows of the decoding query, whatever stands around them; nor do those of slices before."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        engine = bpe.Engine(f.read(), P.PATTERN, bpe.SMALL)
+    decoded, decode = [], engine._decode
+    engine._decode = lambda rows: decoded.append(sum(len(r) // 4 for r in rows)) or decode(rows)
+    texts = ["some words and words again " * 50 + "end", None, "", " words", "words  and\n words ", "\x1c \x85 x"]
+    for _ in range(2):
+        assert engine.decode(engine.encode(texts)) == [(t or "").encode() for t in texts]
+    assert 0 < sum(decoded) < 60
+
+
+def test_kept_caches_go_with_the_next_map(spark):
+    gone = []
+    batch = [common.pa.RecordBatch.from_pydict({"x": [1]})]
+    own = common.tidied(lambda b: iter(b), lambda: gone.append(1), kept=True)
+    for _ in range(2):
+        assert list(own(batch)) == batch and not gone
+    list(common.tidied(lambda b: iter(b))(batch))
+    list(common.tidied(lambda b: iter(b))(batch))
+    assert gone == [1]

@@ -1,8 +1,9 @@
 """Operator 1: byte-level BPE encoding and decoding through DuckDB queries inside each partition.
 
 Every match of the split pattern is a word. A word's tokens are rows (word, position, token); a recursive query joins
-neighbouring rows with the merge table and contracts the leftmost pair of least rank until nothing joins. Decoding joins
-token rows with the vocabulary and concatenates by an ordered aggregate.
+neighbouring rows with the merge table and contracts the leftmost pair of least rank until nothing joins. Decoding parts ids
+before every token that begins with a blank, joins the token rows of each distinct run with the vocabulary and concatenates by an
+ordered aggregate. Both keep words and runs that a worker has met, and look up each distinct one of a slice once.
 
 Null and empty texts have no tokens and decode to no bytes. Repeated rows and ids stay, each with its own result; columns
 other than the key and the text are neither read nor returned. The map has no shuffle, so a lost executor costs only its tasks.
@@ -18,12 +19,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import SPACED, slices, table, texts, tidied, tokenizer_file
 
 
-
 class Limits(NamedTuple):
     """What one Python worker holds at a time; results don't depend on it."""
 
@@ -114,6 +115,13 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
+def joined(pieces: list[bytes], place: np.ndarray | pa.Array, stops: np.ndarray) -> list[bytes]:
+    """The pieces at all places in a row, cut where `stops` of them have gone by."""
+    row = pa.array(pieces, pa.large_binary()).take(place if isinstance(place, pa.Array) else pa.array(place))
+    cuts, data = np.append(0, np.frombuffer(row.buffers()[1], dtype=np.int64)[stops]).tolist(), memoryview(row.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Engine:
     """The DuckDB database of one Python worker, with the merge table and the vocabulary."""
 
@@ -128,12 +136,18 @@ class Engine:
         self.find = regex.compile(pattern).findall
         if pattern != _pattern(None):
             self._split = lambda blank, part: self.find(blank + part)
+        self.opens = np.zeros(max(self.ranks.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in self.ranks.items() if t.startswith(b" ")]] = True
+        self.sizes = np.zeros(len(self.opens), dtype=np.int64)
+        self.sizes[list(self.ranks.values())] = [len(t) for t in self.ranks]
         vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]})
         self.tables = {"merges": merge_table(self.ranks), "vocab": vocab}
         # ids are kept as the bytes of little-endian 32-bit integers
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        #: Runs of ids and the bytes that they stand for.
+        self.runs: dict[bytes, bytes] = {}
 
     @cached_property
     def con(self):
@@ -148,7 +162,7 @@ class Engine:
 
     def forget(self) -> None:
         """Empty the caches."""
-        for cache in (self.words, self.first, self.later):
+        for cache in (self.words, self.first, self.later, self.runs):
             cache.clear()
 
     def close(self) -> None:
@@ -199,30 +213,74 @@ class Engine:
                 return [blank + part[:-1], part[-1]]
         return self.find(blank + part)
 
-    def encode(self, docs: list[str | None]) -> list[bytes]:
+    def encode(self, docs: pa.Array | list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers.
 
-        A blank before a character that is no white space always starts a word, so text is parted there and each part is
+        A blank before a character that is no white space always starts a word, so text is parted there and each distinct part is
         split by the pattern once; a text with a blank before white space, or at its end, is split whole.
         """
         if max(len(self.words), len(self.first), len(self.later)) > self.limits.cache_words:
             self.forget()
-        parted = [None if t is None else [t] if SPACED.search(t) else t.split(" ") for t in docs]
-        firsts, laters = set(), set()
-        for parts in parted:
-            if parts:
-                firsts.add(parts[0])
-                laters.update(parts[1:])
-        found = [(self.first, p, self._split("", p)) for p in firsts if p not in self.first]
+        lists = pc.split_pattern((docs if isinstance(docs, pa.Array) else pa.array(docs, pa.string())).fill_null(""), " ")
+        coded, counts = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        codes, parts, stops = coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.cumsum(counts)
+        starts = stops - counts
+        later = np.ones(len(codes), dtype=bool)
+        later[starts] = False
+        blank = np.array([not p or p[0].isspace() for p in parts], dtype=bool)  # only for what stands behind a blank
+        whole = np.unique(np.searchsorted(stops, np.flatnonzero(blank[codes] & later), side="right"))
+        used = np.zeros(len(parts), dtype=bool)
+        used[codes[later]] = True
+        heads = [parts[c] for c in codes[starts].tolist()]
+        for k in whole.tolist():
+            heads[k] = " ".join([parts[c] for c in codes[starts[k] : stops[k]].tolist()])
+        laters = [p for p, u in zip(parts, (used & ~blank).tolist(), strict=True) if u]
+        found = [(self.first, p, self._split("", p)) for p in set(heads) if p not in self.first]
         found += [(self.later, p, self._split(" ", p)) for p in laters if p not in self.later]
         self._contract([w for w in dict.fromkeys(w for _, _, ws in found for w in ws) if w not in self.words])
         get = self.words.__getitem__
         for cache, part, ws in found:
-            cache[part] = b"".join(map(get, ws))
-        later = self.later.__getitem__
-        return [b"" if p is None else self.first[p[0]] + b"".join(map(later, p[1:])) for p in parted]
+            cache[part] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        # the ids of all texts in a row: each text's head, then its other parts, unless it was split whole
+        own = [self.first[h] for h in heads] + [self.later[p] for p in laters]
+        place = np.zeros(len(parts), dtype=np.int64)
+        place[used & ~blank] = np.arange(len(heads), len(own))
+        place = place[codes]
+        place[starts] = np.arange(len(heads))
+        if len(whole):
+            keep = np.ones(len(codes), dtype=bool)
+            for k in whole.tolist():
+                keep[starts[k] + 1 : stops[k]] = False
+            place, stops = place[keep], np.append(0, np.cumsum(keep))[stops]
+        return joined(own, place, stops)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that each row of ids stands for: each distinct run from one id that begins with a blank to the next is decoded once."""
+        if len(self.runs) > self.limits.cache_words:
+            self.runs.clear()
+        ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        if not len(flat):
+            return [b""] * len(ids)
+        opens = self.opens[flat]
+        first = np.append(0, ends[:-1])
+        opens[first[first < ends]] = True
+        begins = np.flatnonzero(opens)
+        offsets = pa.py_buffer(np.append(begins, len(flat)) * 4)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, offsets, pa.py_buffer(flat)]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        pieces = list(map(self.runs.get, distinct))
+        if None in pieces:
+            # new runs go together, hundreds in a row of the query, and are cut by the lengths of their tokens
+            new = [r for r, p in zip(distinct, pieces, strict=True) if p is None]
+            together = b"".join(self._decode([b"".join(new[k : k + 300]) for k in range(0, len(new), 300)]))
+            sizes = np.append(0, np.cumsum(self.sizes[np.frombuffer(b"".join(new), dtype="<u4")]))
+            cuts = sizes[np.cumsum([len(r) // 4 for r in new])].tolist()
+            self.runs.update(zip(new, [together[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            pieces = [self.runs[r] if p is None else p for r, p in zip(distinct, pieces, strict=True)]
+        return joined(pieces, coded.indices, np.searchsorted(begins, ends))
+
+    def _decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for, by queries over rows of about `decode_ids` ids together (one row at least)."""
         out = [b""] * len(ids)
         stop = 0
@@ -275,7 +333,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks.value, pattern)
         for b in slices(batches, "text"):
-            ids = engine.encode(b.column("text").to_pylist())
+            ids = engine.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _column(ids)], names=["doc_id", "ids"])
 
     return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern).close()), "doc_id long, ids array<int>")
@@ -304,13 +362,13 @@ def round_trip(df: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = _engine(ranks.value, pattern, limits)
         for b in slices(batches, "text", limits.slice_bytes):
-            ids = engine.encode(b.column("text").to_pylist())
+            ids = engine.encode(b.column("text"))
             back = engine.decode(ids)
             columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())]
             columns += [pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for v in (ids, back)]
             yield pa.RecordBatch.from_arrays(columns + [_column(ids)] * with_ids, names=names)
 
-    return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern, limits).close()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return texts(df, key, text).mapInArrow(tidied(run, lambda: _engine(ranks.value, pattern, limits).close(), kept=limits == LARGE), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

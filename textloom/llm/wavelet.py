@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import coded_words, slices, table, texts, tidied, tokenizer_file, written
+from textloom.llm.common import coded_words, gathered, slices, table, texts, tidied, tokenizer_file, written
 
 END_ID, SHARD_TOKENS, BLOCK = 1, 1 << 19, 256
 #: Words that the cache of a Python worker holds; a full cache starts anew.
@@ -193,16 +193,6 @@ TAIL, MARK = ".,;:!?", "<|endoftext|>"
 PLAIN, LETTER_END = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$", "[0-9A-Za-zÀ-ÖØ-öø-ÿ]$"
 
 
-def gathered(pool: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Pieces of the pool in a row."""
-    stop = np.cumsum(length, dtype=np.int64)
-    total = int(stop[-1]) if len(stop) else 0
-    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
-    at = np.repeat((first - (stop - length)).astype(kind), length)
-    at += np.arange(total, dtype=kind)
-    return pool[at]
-
-
 @lru_cache(maxsize=2)
 class Encoder:
     """Ids by the tokenizers library, with the file's own settings. Its pattern drops white space, never joins over it, and parts a
