@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 
@@ -401,6 +402,53 @@ def test_lm_trains_on_every_document(spark, docs, monkeypatch):
     assert total == 6 and np.allclose(change["W"], (0 * 1 + 1 * 2 + 2 * 3) / 6) and np.allclose(change["E"][:, 0], [1 / 6, 2 / 6, 3 / 6])
 
 
+def test_lm_has_one_id_for_each_word(spark):
+    """Whatever the word, so that training and scoring take as many steps as the text has tokens."""
+    rows = [(k, "the the the unheard-of!! Qqxzw\0 \u00fcber") for k in range(20)] + [(30, "x" * 5000 + " neverseen"), (31, ""), (32, None)]
+    ids, counts = lm.encoded(spark.createDataFrame(rows, "doc_id long, text string"), lm.Vocabulary(spark, None), 1)
+    assert {r.doc_id: len(r.ids) // 2 for r in ids.collect()} == {i: len(plain_words(t)) + 1 for i, t in rows}
+    assert sum(r.c for r in counts.where("id IS NOT NULL").collect()) == sum(len(plain_words(t)) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)
+
+
+def test_lm_shares_of_a_class_sum_to_one():
+    words, units = [b"the", b"of", *(f"w{k}ing".encode() for k in range(300)), b"a"], 2
+    c = np.array([9, 7, *(k % 5 + 1 for k in range(300)), 1])
+    known = lm.Table(dict(zip(words, c.tolist(), strict=True)), units)
+    both = pa.array([*words, lm.END_WORD], pa.binary())
+    at = known.find(both)
+    assert (np.sort(at[:-1]) == np.arange(len(words))).all() and known.units == 2 and at[-1] == -1
+    k = lm.classes(both)[:-1]
+    known.mass += np.bincount(k[2:], weights=c[2:] + 0.5, minlength=lm.CLASSES)
+    ids, share = known.ids(both, at)
+    assert (share[:2] == 0).all() and share[-1] == 0 and ids[-1] == lm.END and len(set(ids[:2].tolist()) | {lm.END}) == 3
+    for one in np.unique(k[2:]):
+        assert math.isclose((10 ** share[2:-1][k[2:] == one]).sum() + 0.5 / known.mass[one], 1)
+
+
+def test_lm_learns_the_mass_of_classes(spark):
+    c = {b"the": 9, b"of": 4, b"x": 3, b"seen": 2, b"been": 1, b"y" * 100: 7, lm.END_WORD: 5}
+    for units, most in ((2, 1000), (50, 1000), (50, 3), (50, 0)):
+        v = lm.Vocabulary(spark, units)
+        v.learn(spark.createDataFrame(list(c.items()), "word binary, c long").repartition(3), most)
+        known = v.shared.value
+        own = known.words.to_pylist()[: known.units]
+        want = np.full(lm.CLASSES, 0.5)
+        for w in c.keys() - {*own, lm.END_WORD}:
+            want[lm.classes(pa.array([w]))[0]] += c[w] + 0.5
+        assert (known.mass == want).all() and known.units == len(own) <= units and all(c[w] >= lm.LEAST for w in own) and v.size == 1 + lm.CLASSES + len(own)
+    assert lm.classes(pa.array([b"seen"]))[0] == lm.classes(pa.array([b"been"]))[0]
+
+
+def test_lm_scores_alike_by_table_and_join(spark):
+    """Counts of words reach the score from the table of frequent words and from the join."""
+    rows = [(k, "one two " * (k % 4) + f"Three w{k % 7} x{k} \u00e9t\u00e9") for k in range(40)] + [(50, None), (51, "never seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [{r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(docs, units=0, most_head=most).collect()} for most in (0, 4, 1000)]
+    for other in got[1:]:
+        for i, (score, base, known) in got[0].items():
+            assert math.isclose(score, other[i][0], rel_tol=1e-6) and math.isclose(base, other[i][1], rel_tol=1e-9) and known == other[i][2]
+
+
 def test_lm_frequent_words(spark):
     words = spark.createDataFrame([(f"w{k}".encode(), k // 3 + 1) for k in range(300)] + [(b"x" * 100, 10**6)], "word binary, c long")
     got = lm.frequent(words, 50)
